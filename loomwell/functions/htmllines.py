@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags at which a line ends.
 BREAKS = frozenset(
@@ -44,6 +45,6 @@ def html_lines(value: str | None) -> list[str]:
     return [fold_line(x) for x in visible_lines(value)]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_lines_udf(values: pd.Series) -> pd.Series:
     return values.map(html_lines)

@@ -51,3 +51,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting at most rows + 1 rows; beyond that the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Before costly Python work: hash rows over all cores where the scan gives fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
