@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwell.llm import encoding_repair, leakage, packing, repeated_lines
+from loomwell.llm import encoding_repair, leakage, markup, packing, repeated_lines, residue
 from loomwell.session import read_table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.residue(read_table(spark, folder, "posts"))
+
+
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_text(read_table(spark, folder, "posts"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_records(read_table(spark, folder, "posts")).select("seq")
+
+
+def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_records(read_table(spark, folder, "posts"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.repeated_lines(read_table(spark, folder, "posts"))
 
@@ -40,5 +56,5 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_repair.repair_documents(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_clean, p8_pack, p8_report, p9_found, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_text, p6_found, p6_kinds, p7_found, p7_clean, p8_pack, p8_report, p9_found, p9_report, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {}
