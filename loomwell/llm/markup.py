@@ -117,9 +117,6 @@ def excerpt_residue(excerpt: str | None) -> list[str]:
     return _settled(weights)
 
 
-_KINDS = T.ArrayType(T.StringType())
-
-
 # ---- conversion ----
 
 _INLINE = [
@@ -240,19 +237,15 @@ def clean_text(posts: DataFrame) -> DataFrame:
     return body.unionByName(short)
 
 
-@F.pandas_udf(_KINDS)
-def _html_kinds(values: pd.Series) -> pd.Series:
-    return values.map(html_residue)
+_CASES = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("kind", T.StringType())]))
 
 
-@F.pandas_udf(_KINDS)
-def _excerpt_kinds(values: pd.Series) -> pd.Series:
-    return values.map(excerpt_residue)
+@F.pandas_udf(_CASES)
+def _cases(htmls: pd.Series, excerpts: pd.Series) -> pd.Series:
+    return pd.Series([[("html", k) for k in html_residue(h)] + [("excerpt", k) for k in excerpt_residue(e)] for h, e in zip(htmls, excerpts, strict=True)])
 
 
 def residue(posts: DataFrame) -> DataFrame:
     """(seq, field, kind) of the markup that readers would see. Null and empty fields have none."""
     rows = spread(posts.select("seq", "html", "excerpt"), "seq")
-    both = rows.select("seq", _html_kinds("html").alias("h"), _excerpt_kinds("excerpt").alias("e"))
-    html = both.select("seq", F.lit("html").alias("field"), F.explode("h").alias("kind"))
-    return html.unionByName(both.select("seq", F.lit("excerpt").alias("field"), F.explode("e").alias("kind"))).distinct()
+    return rows.select("seq", F.inline(_cases("html", "excerpt"))).distinct()

@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwell.llm import encoding_repair, leakage, markup, packing, repeated_lines, residue
+from loomwell.llm import boilerplate, encoding_repair, leakage, markup, packing, repeated_lines, residue, truncation
 from loomwell.session import read_table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(read_table(spark, folder, "posts"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_report(read_table(spark, folder, "posts"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(read_table(spark, folder, "posts"))
+
+
+def p2_article(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.split_pages(read_table(spark, folder, "posts")).select("seq", "text")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.residue(read_table(spark, folder, "posts"))
 
@@ -56,5 +72,5 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_repair.repair_documents(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_text, p6_found, p6_kinds, p7_found, p7_clean, p8_pack, p8_report, p9_found, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_article, p4_found, p4_text, p6_found, p6_kinds, p7_found, p7_clean, p8_pack, p8_report, p9_found, p9_report, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {}
