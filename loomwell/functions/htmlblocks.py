@@ -9,7 +9,7 @@ import html as _html
 import re
 from dataclasses import dataclass, field
 
-from loomwell.functions.htmllines import BREAKS, HIDDEN, TAG, UNFINISHED
+from loomwell.functions.htmllines import BREAKS, HIDDEN, MARK, UNFINISHED
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -19,7 +19,7 @@ CLOSES_P = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote sect
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|" + TAG.pattern + r"|(?P<text>[^<]+|<)", re.S)
+_PIECES = re.compile(MARK.pattern + r"|(?P<text>[^<]+|<)", re.S)
 
 
 @dataclass(slots=True)
@@ -54,11 +54,11 @@ def parse_page(value: str | None) -> Page:
     page = Page(size=len(value or ""))
     if not value:
         return page
-    tail = re.search(r"</?(?:[a-zA-Z][^<>]*)?\Z", value)
+    body = HIDDEN.sub(lambda m: "\x00" * len(m[0]), value)
+    tail = UNFINISHED.search(body)
     page.cut_tag = tail is not None
-    body = value[: tail.start()] if tail else value
+    body = body[: tail.start()] if tail else body
     page.cut_reference = re.search(r"&#?\w{0,7}\Z", body) is not None
-    body = HIDDEN.sub(lambda m: "\x00" * len(m[0]), UNFINISHED.sub("", body))
     stack: list[tuple[str, tuple[str, ...], int]] = []
     line, count = Line(), 0
     parts: list[str] = []

@@ -17,17 +17,16 @@ BREAKS = frozenset(
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*|[^>]*)>")
 UNFINISHED = re.compile(r"</?(?:[a-zA-Z][^<>]*)?\Z|<!(?:[^<>]*)?\Z")
+MARK = re.compile(r"<[!?][^>]*>|" + TAG.pattern)
 _DIGITS = re.compile(r"[0-9]+")
-_OTHER = re.compile(r"<[!?][^>]*>")
 
 
 def visible_lines(value: str | None) -> list[str]:
     """Lines as a reader sees them: decoded, white space collapsed, case and digits kept; empty ones left out."""
     if not value:
         return []
-    text = HIDDEN.sub("", value)
-    text = TAG.sub(lambda m: "\n" if m[2].lower() in BREAKS else "", text)
-    text = UNFINISHED.sub("", _OTHER.sub("", text))
+    text = UNFINISHED.sub("", HIDDEN.sub("\x00", value))
+    text = MARK.sub(lambda m: "\n" if (m[2] or "").lower() in BREAKS else "", text).replace("\x00", "")
     out = []
     for part in re.split(r"[\n\r]", text):
         line = " ".join(_html.unescape(part).split())

@@ -16,6 +16,7 @@ def build_session(master: str = "local[*]", partitions: int = 8, **conf: str) ->
     b = SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", str(partitions))
     b = b.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     b = b.config("spark.ui.enabled", "false").config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    b = b.config("spark.sql.python.filterPushdown.enabled", "true")
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
