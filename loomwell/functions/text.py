@@ -1,11 +1,13 @@
-"""String, URL and label expressions; all native, so they stay in generated code."""
+"""String, URL and label expressions; native but for the number formats of reports, so they stay in generated code."""
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What must equal the established results.
 TITLE_SEPARATORS = ("|", "–", "—", "-", "·", "»", "::", ":")
@@ -136,9 +138,20 @@ def parse_size(text: Column | str) -> Column:
     return F.when(t.rlike(pattern) & (size > 0), size)
 
 
-def print_size(size: Column | str) -> Column:
+@F.pandas_udf(T.StringType())
+def _fixed(values: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else f"{v:.{d}f}" for v, d in zip(values, digits, strict=True)])
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many digits, rounded by its binary value; the JVM's formatter rounds the shortest decimal up
+    instead, which differs on ties. For reports, which are small."""
+    return _fixed(value.cast("double"), F.lit(digits))
+
+
+def print_size(size: Column | str, digits: int = 0) -> Column:
     n = col(size).cast("double")
-    return F.when(n >= 1e9, F.format_string("%.2f GB", n / 1e9)).otherwise(F.format_string("%.0f MB", n / 1e6))
+    return F.when(n >= 1e9, F.concat(fixed(n / 1e9, 2), F.lit(" GB"))).otherwise(F.concat(fixed(n / 1e6, digits), F.lit(" MB")))
 
 
 def file_key(key: Column | str) -> Column:

@@ -120,3 +120,23 @@ def test_fragments_and_cover_lines(spark):
     rows = spark.createDataFrame([("b", 1, "2024-01-01", "K", "one"), ("b", 2, "2024-02-01", "K", "two"), ("b", 3, None, "L", "t" * 90)], "by string, id int, d string, k string, title string").withColumn("ts", F.col("d").cast("timestamp"))
     got = covers.cover_lines(rows, "by", "ts", "title", "k", "id", 4).orderBy("line").collect()
     assert [(r.kicker, r.title[:3]) for r in got] == [("K", "two"), ("FEATURE", "one"), ("FEATURE", "ttt"), ("", "")]
+
+
+def test_reports(spark):
+    from loomwell.operators import reports
+
+    x = lambda c: spark.range(1).select(c.alias("x")).first().x
+    css = "a: light-dark(rgb(1, 2, 3), #000); b: var(--y, #fff)"
+    assert x(reports.plain_colours(F.lit(css))) == "a: rgb(1, 2, 3); b: #fff"
+    assert [x(reports.svg_policy(F.lit("image/svg+xml"), F.lit("a.svg"), p)) for p in ("keep", "raster", "drop")] == ["a.svg", "a.png", None]
+    with pytest.raises(ValueError):
+        reports.svg_policy(F.lit(""), F.lit(""), "melt")
+    assert [x(text.fixed(F.lit(v), 1)) for v in (9.45, 0.25, 2.0)] == ["9.4", "0.2", "2.0"]
+    assert "A &amp; B" in reports.drawn_cover("A & B", "sub", "me") and reports.fill_template("$a $b", {"a": "1"}) == "1 $b"
+    assert reports.suggested_include("https://e.example/blog", {2: 5, 1: 1}) == r"^https://e\.example/blog/[^/]+" and reports.suggested_id("https://www.e.example/") == "e"
+    files = spark.createDataFrame([("a", "A", "a.epub", "2024", 2, "2024", 2_000_000), ("b", None, "b.epub", None, None, None, 2_000_000_000)], "book string, title string, name string, label string, posts int, span string, bytes long")
+    notes = reports.release_notes(reports.release_sections(files, "book"), "book", ["a", "c"], "20260101")
+    assert "2 posts in 1 volume." in notes and "Kept from an earlier run" in notes and "- `c`" in notes and "2.00 GB" in notes
+    pages = spark.createDataFrame([("s", '<main><div class="body__x1">' + "w " * 50 + '</div><div class="share-box">s</div></main>'), ("s", None)], "site string, html string")
+    assert reports.clutter_candidates(pages, "site", "html").first().selector == ".share-box"
+    assert x(reports.deflated_size(F.lit(None).cast("string"))) == 8
