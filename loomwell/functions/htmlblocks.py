@@ -14,11 +14,13 @@ from loomwell.functions.htmllines import BREAKS, HIDDEN, MARK, UNFINISHED
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE_CODE = frozenset("code samp kbd tt var".split())
-CODE = frozenset("pre listing xmp textarea".split()) | INLINE_CODE
+PRE = frozenset("pre listing xmp textarea".split())
+CODE = PRE | INLINE_CODE
 CLOSES_P = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote section article aside nav main header footer figure form hr center".split())
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NEWLINE = re.compile(r"([\r\n])")
 _PIECES = re.compile(MARK.pattern + r"|(?P<text>[^<]+|<)", re.S)
 
 
@@ -63,39 +65,51 @@ def parse_page(value: str | None) -> Page:
     line, count = Line(), 0
     parts: list[str] = []
     prose: list[str] = []
+    moved, in_code, in_pre, in_link = False, False, False, False
 
     def flush() -> None:
         nonlocal line, parts, prose
-        raw = _html.unescape("".join(parts))
-        text = " ".join(raw.split())
-        if text or (raw and line.pre):
-            line.text, line.raw, line.prose = text, raw, _html.unescape("".join(prose))
-            if text:
+        if parts:
+            raw = "".join(parts)
+            raw = _html.unescape(raw) if "&" in raw else raw
+            line.text = " ".join(raw.split())
+            if line.text:
+                said = "".join(prose)
+                line.raw, line.prose = raw, _html.unescape(said) if "&" in said else said
                 page.lines.append(line)
-        line, parts, prose = Line(), [], []
+            line, parts, prose = Line(), [], []
 
     def add(text: str, end: int) -> None:
-        if not text.strip("\x00"):
-            return
+        nonlocal moved, in_code, in_pre, in_link
         text = text.replace("\x00", "")
-        visible = text.strip()
-        if visible and not line.path and not line.end:
+        if not text:
+            return
+        if moved:
+            tags = {t for t, _, _ in stack}
+            moved, in_code, in_pre, in_link = False, not CODE.isdisjoint(tags), not PRE.isdisjoint(tags), "a" in tags
+        if text.isspace():
+            parts.append(text)
+            prose.append(text)
+            return
+        if not line.end:
             line.path = tuple(t for t, _, _ in stack if t in BREAKS or t in CODE)
             line.names = tuple(n for _, names, _ in stack for n in names)
             line.nodes = tuple(k for _, _, k in stack)
-            line.pre = any(t in ("pre", "listing", "xmp", "textarea") for t, _, _ in stack)
+            line.pre = in_pre
         parts.append(text)
-        in_code = any(t in CODE for t, _, _ in stack)
-        prose.append("¤" if in_code and visible else text)
-        if visible:
-            line.end = end
-            if any(t == "a" for t, _, _ in stack):
-                line.link_chars += len(visible)
+        prose.append("¤" if in_code else text)
+        line.end = end
+        if in_link:
+            line.link_chars += len(text.strip())
 
     for m in _PIECES.finditer(body):
-        if m["text"] is not None:
+        text = m["text"]
+        if text is not None:
             at = m.start()
-            for i, piece in enumerate(re.split(r"([\r\n])", m["text"])):
+            if "\n" not in text and "\r" not in text:
+                add(text, at + len(text.rstrip()))
+                continue
+            for i, piece in enumerate(_NEWLINE.split(text)):
                 if i % 2:
                     flush()
                 else:
@@ -104,9 +118,12 @@ def parse_page(value: str | None) -> Page:
             continue
         if m[2] is None:
             continue
-        closing, name, attrs = m[1], m[2].lower(), m[3] or ""
+        closing, name = m[1], m[2].lower()
         if name in BREAKS:
             flush()
+        if name in VOID:
+            continue
+        moved = True
         if closing:
             scope = SCOPE.get(name)
             for i in range(len(stack) - 1, -1, -1):
@@ -116,8 +133,6 @@ def parse_page(value: str | None) -> Page:
                 if scope and stack[i][0] in scope:
                     break
             continue
-        if name in VOID:
-            continue
         if name in CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
@@ -132,9 +147,10 @@ def parse_page(value: str | None) -> Page:
                     break
                 if stack[i][0] in SCOPE[name]:
                     break
-        if attrs.rstrip().endswith("/") and name not in BREAKS:
+        attrs = m[3]
+        if attrs and attrs.rstrip().endswith("/") and name not in BREAKS:
             continue
-        names = tuple(w for a in _NAME.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(a).lower()) if w)
+        names = tuple(w for a in _NAME.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(a).lower()) if w) if attrs and "=" in attrs else ()
         count += 1
         stack.append((name, names, count))
         if name == "a":

@@ -14,8 +14,8 @@ BREAKS = frozenset(
     "p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th pre blockquote section article aside nav main "
     "header footer figure figcaption form button hr br center noscript".split()
 )
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*|[^>]*)>")
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+|[^>]*+)>")
 UNFINISHED = re.compile(r"</?(?:[a-zA-Z][^<>]*)?\Z|<!(?:[^<>]*)?\Z")
 MARK = re.compile(r"<[!?][^>]*>|" + TAG.pattern)
 _DIGITS = re.compile(r"[0-9]+")
