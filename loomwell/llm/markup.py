@@ -34,6 +34,9 @@ _SAMPLES = [
     re.compile(r"\\(?:verb|lstinline)\*?([^A-Za-z\s*]).*?\1"),
     re.compile(r"\[code\b[^\]]*\].*?(?:\[/code\]|\Z)", re.S | re.I),
 ]
+#: Without any of these no sample begins, and without any of those no syntax shows.
+_SAMPLE_SIGNS = ("<", "\\", "```", "~~~", "[code", "[CODE")
+_SIGNS = ("**", "__", "~~", "](", "]:", "`", "#", "---", "\n>", "\n-", "\n+", "\n*", "*", "_", "==", "[[", "[http", "[//", "''", "{|", "|-", "|}", "<", "{{", "\\", "$")
 _TICKS = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)\1(?!`)")
 _INDENTED = re.compile(r"^(?:[ ]+|\t)\S.*$", re.M)
 
@@ -63,9 +66,10 @@ _TEX_INNER = re.compile(r"\$\$[^$]+\$\$|(?<![\w\\$])\$(?=\S)[^$\n]*(?:[\\^_][A-Z
 
 
 def without_samples(text: str, inline: bool = True) -> str:
-    for p in _SAMPLES:
-        text = p.sub(lambda m: "\n" if "\n" in m[0] else " ", text)
-    return _TICKS.sub("` `", text) if inline else text
+    if any(sign in text for sign in _SAMPLE_SIGNS):
+        for p in _SAMPLES:
+            text = p.sub(lambda m: "\n" if "\n" in m[0] else " ", text)
+    return _TICKS.sub("` `", text) if inline and "`" in text else text
 
 
 def page_text(html: str | None) -> str:
@@ -75,6 +79,8 @@ def page_text(html: str | None) -> str:
 
 def evidence(text: str) -> dict[str, int]:
     """Weight of evidence for each syntax in text that should be plain; 2 or more is a case."""
+    if text[:1] not in (">", "-", "+") and not any(sign in text for sign in _SIGNS):
+        return {"html": 0, "markdown": 0, "wiki": 0, "latex": 0}
     ticks = len(_TICKS.findall(text))
     fences = len(_MD_FENCE.findall(text)) >= 2
     shown = text
