@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwell.functions.dates import gmt
-from loomwell.functions.dom import text_of
+from loomwell.functions.dom import parse, text_of
 from loomwell.functions.text import accepts
 
 #: Order in which a blog's sources are asked when none is configured.
@@ -125,3 +125,68 @@ def tolerant_pages(refs: DataFrame, pages: DataFrame) -> DataFrame:
     other = pages.select(F.col("url").alias("_t"), F.col("html").alias("_h"))
     both = refs.withColumn("_t", toggled).join(pages.select("url", "html"), "url", "left").join(other, "_t", "left")
     return both.withColumn("html", F.coalesce("html", "_h")).drop("_t", "_h")
+
+
+# ---- finding a blog's sources in its pages ----
+
+# Where sources are looked for when a page does not name them.
+API_PATHS = ("/wp-json/wp/v2", "/?rest_route=/wp/v2")
+FEED_PATHS = ("/feed", "/feed/", "/rss.xml", "/atom.xml", "/index.xml", "/feed.xml", "/rss", "/feed/atom")
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml")
+
+
+def _linked(html: str, rel: str) -> list[dict[str, str]]:
+    return [n.attrs for n in parse(html).walk() if n.tag == "link" and rel in n.attrs.get("rel", "").lower().split()]
+
+
+def api_candidates(html: str, url: str) -> list[str]:
+    """REST roots: the one a page links to, then the usual places."""
+    named = [urljoin(url, a["href"]) for a in _linked(html, "https://api.w.org/") if a.get("href")]
+    return list(dict.fromkeys([*named, *(urljoin(url, p) for p in API_PATHS)]))
+
+
+def feed_candidates(html: str, url: str) -> list[str]:
+    """Feeds: those a page links to, then the usual places below the blog and at its origin."""
+    kinds = ("application/rss+xml", "application/atom+xml")
+    named = [urljoin(url, a["href"]) for a in _linked(html, "alternate") if a.get("type", "").lower() in kinds and a.get("href")]
+    usual = [url.rstrip("/") + p for p in FEED_PATHS] + [urljoin(url, p) for p in FEED_PATHS]
+    return list(dict.fromkeys([*named, *usual]))
+
+
+def sitemap_candidates(robots: str, url: str) -> list[str]:
+    return list(dict.fromkeys([*robots_sitemaps(robots, url), *(urljoin(url, p) for p in SITEMAP_PATHS)]))
+
+
+def is_sitemap(xml: str) -> bool:
+    m = re.search(r"<(?:\w+:)?(urlset|sitemapindex)\b", xml[:2000])
+    return m is not None
+
+
+def decoded(body: bytes, declared: str | None) -> str:
+    """Text of a response: a missing or Latin-1 declaration is not believed where the bytes are UTF-8."""
+    believed = (declared or "").lower()
+    if believed not in ("", "iso-8859-1", "latin-1"):
+        try:
+            return body.decode(believed)
+        except (LookupError, UnicodeDecodeError):
+            pass
+    try:
+        return body.decode("utf-8")
+    except UnicodeDecodeError:
+        return body.decode("cp1252", "replace")
+
+
+def to_json(posts: DataFrame) -> DataFrame:
+    return posts.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def from_json(lines: DataFrame, schema: str) -> DataFrame:
+    """Posts from JSON lines (value); unknown fields are ignored, broken lines give nulls."""
+    return lines.select(F.from_json("value", schema).alias("p")).select("p.*")
+
+
+def read_assets(spark: SparkSession, path: str) -> DataFrame:
+    """Release assets (name, size) from JSON lines, with the book and issue that their names carry."""
+    raw = spark.read.schema("name string, size long").json(path)
+    pattern = r"^(.+?)-(\d{8})((?:\..+)?)\.epub$"
+    return raw.where(F.col("name").rlike(pattern)).select("name", "size", F.regexp_extract("name", pattern, 1).alias("book"), F.regexp_extract("name", pattern, 2).alias("issue"))

@@ -99,3 +99,17 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = {r.k: (r.failures, r.retry_at) for r in spark.table("timers").collect()}
     assert got["b"][1] is None and got["a"][0] == 3 and str(got["a"][1]).startswith("2024-01-05")
+
+
+def test_candidates_and_assets(spark, tmp_path):
+    html = '<link rel="https://api.w.org/" href="/api/"><link rel="alternate" type="application/rss+xml" href="/f.xml">'
+    assert listing.api_candidates(html, "https://e.example/blog")[0] == "https://e.example/api/"
+    assert listing.feed_candidates(html, "https://e.example/blog")[:2] == ["https://e.example/f.xml", "https://e.example/blog/feed"]
+    assert listing.sitemap_candidates("sitemap: /s.xml", "https://e.example/")[0] == "https://e.example/s.xml"
+    assert listing.is_sitemap('<?xml version="1.0"?><urlset xmlns="x">') and not listing.is_sitemap("<html>")
+    assert listing.decoded("é".encode(), "iso-8859-1") == "é" and listing.decoded(b"\xe9", None) == "é" and listing.decoded("я".encode("cp1251"), "windows-1251") == "я"
+    lines = spark.createDataFrame([('{"key": "a", "more": 1}',), ("broken",)], "value string")
+    assert [r.key for r in listing.from_json(lines, "key string").collect()] == ["a", None]
+    assert listing.to_json(spark.createDataFrame([("a",)], "key string")).first().value == '{"key":"a"}'
+    (tmp_path / "a.json").write_text('{"name": "api-20240101.2024.epub", "size": 3}\n{"name": "x.txt", "size": 1}\n')
+    assert [(r.book, r.issue) for r in listing.read_assets(spark, str(tmp_path / "a.json")).collect()] == [("api", "20240101")]
