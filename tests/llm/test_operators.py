@@ -231,3 +231,15 @@ def test_encodings_round_trip(charset):
     assert encoding_repair.repair_text(quoted, d) == (quoted, None, False)
     assert encoding_repair.repair_text("Pr�fberichte", d)[2] is True
     assert encoding_repair.repair_text(None, d) == (None, None, False)
+
+
+def test_damaged_words_in_long_lines():
+    """Lines that compress well, or are clean but for a few words, are read anew all the same."""
+    d = encoding_repair.Describer({"de": "\n".join(TEXTS * 3).encode(), "ru": "\n".join(RUSSIAN * 3).encode()}, "".join({c for t in TEXTS + RUSSIAN for c in t if ord(c) > 127}))
+    line = " ".join(RUSSIAN * 3)
+    part = RUSSIAN[1]
+    for meant, read in (("cp1251", "latin-1"), ("koi8_r", "cp1251")):
+        bad = part.encode(meant).decode(read)
+        assert encoding_repair.repair_text(" ".join(x.encode(meant).decode(read) for x in RUSSIAN * 3), d)[0] == line
+        assert encoding_repair.repair_text(line.replace(part, bad, 1), d)[0] == line
+    assert encoding_repair.repair_text(line, d) == (line, None, False)
