@@ -243,3 +243,21 @@ def test_damaged_words_in_long_lines():
         assert encoding_repair.repair_text(" ".join(x.encode(meant).decode(read) for x in RUSSIAN * 3), d)[0] == line
         assert encoding_repair.repair_text(line.replace(part, bad, 1), d)[0] == line
     assert encoding_repair.repair_text(line, d) == (line, None, False)
+
+
+def test_words_are_counted_in_all_rows(make_posts):
+    words = ["stem" + "".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(320)]
+    rows = [{"key": f"k{i}", "html": f"<p>The {w} gateway, a {w} report and a {w} quota.</p><p>Some {w} notes on it.</p><h3>Notes about {w}</h3>"} for i, w in enumerate(words)]
+    assert len({r.ending for r in truncation.scored(make_posts(rows)).collect()}) == 1
+
+
+def test_limits_of_every_measure(make_posts):
+    import random
+
+    rng = random.Random(1)
+    text = lambda n: " ".join("x" * rng.randint(2, 12) for _ in range(n))
+    free = [text(rng.randint(40, 400)) for _ in range(200)]
+    chars = [text(400)[:690].rstrip().ljust(690, "y") for _ in range(30)]
+    words = [text(150) for _ in range(20)]
+    got = {r.seq: r.censoring for r in truncation.scored(make_posts([{"html": f"<p>{t}</p>"} for t in free + chars + words])).collect()}
+    assert all(got[i] > 0 for i in range(200, 250))
