@@ -261,3 +261,12 @@ def test_limits_of_every_measure(make_posts):
     words = [text(150) for _ in range(20)]
     got = {r.seq: r.censoring for r in truncation.scored(make_posts([{"html": f"<p>{t}</p>"} for t in free + chars + words])).collect()}
     assert all(got[i] > 0 for i in range(200, 250))
+
+
+def test_residue_that_every_post_repeats(make_posts):
+    """A missing value in all posts of a blog is a case in each, however often the passage is found."""
+    body = lambda i: "".join(f"<p>{SENTENCES[(i * 5 + k) % len(SENTENCES)]}</p>" for k in range(12))
+    rows = [{"key": f"t{i}", "blog_id": "other", "html": body(i) + "<p>Posted by undefined, undefined</p>"} for i in range(30)]
+    rows += [{"key": f"r{i}", "html": body(i) + "<p>Posted by undefined</p>"} for i in range(20)] + [{"key": f"c{i}", "html": body(i)} for i in range(60)]
+    got = {r.seq: r.kind for r in residue.residue_records(make_posts(rows)).collect()}
+    assert got == {i: "placeholder" for i in range(50)}
