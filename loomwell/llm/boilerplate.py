@@ -21,7 +21,8 @@ from loomwell.llm.common import bounded_sample
 from loomwell.session import spread
 
 #: Parameters: pages of each kind to fit on at most; weight in features of the common shares; capacities.
-SAMPLE_PAGES, PULL, MOST_COST = 2_000, 60.0, 6.0
+#: The words of a line count as so many at most, so that long lines aren't overconfident: each of more words counts less.
+SAMPLE_PAGES, PULL, MOST_COST, WORDS = 2_000, 60.0, 6.0, 12
 #: Edges: lines in a row, in one innermost element, in one outermost element, entries of one list, a heading and the list
 #: after it. BIAS is what calling a
 #: line boilerplate costs, SURE the odds that one line of a page must reach before any is cut off.
@@ -68,10 +69,15 @@ def line_features(lines: list[Line]) -> list[list[str]]:
         if "©" in x.text:
             f.append("@copyright")
         f += [f"@of-{t}" for t in {"pre", "code", "blockquote", "figure", "small"}.intersection(x.path)]
-        out.append(f + words[:12])
+        out.append(f + words)
     return out
 
 
+def word_weight(features: list[str]) -> float:
+    """What each word of a line counts."""
+    return min(1.0, WORDS / max(1, sum(f[0] != "@" for f in features)))
+
+
 class LineModel:
     """Naive Bayes log odds that a line belongs to a part around the article."""
 
@@ -79,12 +85,13 @@ class LineModel:
         self.prior, self.weights = prior, weights
 
     def odds(self, features: list[str]) -> float:
-        return self.prior + sum(self.weights.get(f, 0.0) for f in features)
+        each = word_weight(features)
+        return self.prior + sum(self.weights.get(f, 0.0) * (1.0 if f[0] == "@" else each) for f in features)
 
     @classmethod
     def fit(cls, pages: list[list[Line]]) -> LineModel:
         counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
-        sizes, lines_of = {True: 0, False: 0}, {True: 0, False: 0}
+        sizes, lines_of = {True: 0.0, False: 0.0}, {True: 0, False: 0}
         for lines in pages:
             stated = [stated_part(x) for x in lines]
             bodied, parted = any(BODY_TAGS.intersection(x.path) for x in lines), any(s for s in stated)
@@ -92,8 +99,11 @@ class LineModel:
                 label = s if s is not None else True if bodied else None if parted else False
                 if label is None or (s is None and bodied and f.count("@size5.")):
                     continue
-                counts[label].update(f)
-                sizes[label] += len(f)
+                each = word_weight(f)
+                for x in f:
+                    more = 1.0 if x[0] == "@" else each
+                    counts[label][x] += more
+                    sizes[label] += more
                 lines_of[label] += 1
         every = sum(sizes.values())
         weights = {}

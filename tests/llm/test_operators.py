@@ -270,3 +270,13 @@ def test_residue_that_every_post_repeats(make_posts):
     rows += [{"key": f"r{i}", "html": body(i) + "<p>Posted by undefined</p>"} for i in range(20)] + [{"key": f"c{i}", "html": body(i)} for i in range(60)]
     got = {r.seq: r.kind for r in residue.residue_records(make_posts(rows)).collect()}
     assert got == {i: "placeholder" for i in range(50)}
+
+
+def test_words_at_the_end_of_a_long_line_tell_its_place():
+    from loomwell.functions.htmlblocks import parse_page
+
+    notice = "cookies privacy consent unsubscribe"
+    pages = [parse_page(f"<article><p>{SENTENCES[i % 36]} {SENTENCES[(i + 7) % 36]}</p></article><footer><p>{SENTENCES[i % 36]} {SENTENCES[(i + 7) % 36][:-1]} {notice}.</p></footer>").lines for i in range(40)]
+    model = boilerplate.LineModel.fit(pages)
+    plain, told = (parse_page(f"<p>{SENTENCES[3]} {SENTENCES[11][:-1]}{end}.</p>").lines for end in ("", f" {notice}"))
+    assert model.odds(boilerplate.line_features(told)[0]) > model.odds(boilerplate.line_features(plain)[0]) + 1
