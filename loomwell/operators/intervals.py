@@ -6,11 +6,11 @@ many tasks as it has blocks; only intervals that touch a block's edge (two a blo
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwell.sources.commits import CommitLog
+
 BLOCK = 65_536
 SCHEMA = "source string, lo long, hi long"
 
@@ -65,46 +65,37 @@ def subtract(rows: DataFrame, processed: DataFrame, source: str, seq: str) -> Da
 class IntervalLedger:
     """Commits of output together with the merged intervals of processed numbers.
 
-    A commit writes ``output`` and ``intervals`` below one staging folder and then renames that folder, which the file
-    system does at once or not at all: a run that dies before leaves nothing visible and its numbers stay open; a run
-    that dies after has both. The rename to ``commit-<n>`` fails when another run took n first.
+    A commit writes ``output`` and ``intervals`` into one folder of its own and publishes it by one marker
+    (``CommitLog``): a run that dies before leaves nothing visible and its numbers stay open; a run that dies after has
+    both. A run that another one overtook gets ``Conflict``, so no number is answered twice.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        at = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _p(self, *parts: str):
-        return self._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
-
-    def commits(self) -> list[str]:
-        if not self._fs.exists(self._p()):
-            return []
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._p())]
-        return sorted(n for n in names if n.startswith("commit-"))
-
-    def processed(self) -> DataFrame:
-        done = self.commits()
+        self.spark, self.log = spark, CommitLog(spark, path)
+
+    def processed(self, upto: int | None = None) -> DataFrame:
+        done = self.log.numbers() if upto is None else list(range(upto))
         if not done:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{done[-1]}/intervals")
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.log.folder(done[-1])}/intervals")
 
     def pending(self, rows: DataFrame, source: str, seq: str) -> DataFrame:
-        return subtract(rows, self.processed(), source, seq)
+        """The rows that no commit answers for; all of them before the first commit."""
+        return subtract(rows, self.processed(), source, seq) if self.log.numbers() else rows
 
     def output(self) -> DataFrame | None:
-        done = self.commits()
-        return self.spark.read.parquet(*(f"{self.path}/{c}/output" for c in done)) if done else None
+        done = self.log.folders()
+        return self.spark.read.parquet(*(f"{f}/output" for f in done)) if done else None
+
+    def next_number(self) -> int:
+        """The number that a run begun now would commit; read it before ``pending`` and hand it to ``commit``."""
+        return len(self.log.numbers())
 
-    def commit(self, output: DataFrame, numbers: DataFrame) -> str:
+    def commit(self, output: DataFrame, numbers: DataFrame, number: int | None = None) -> int:
         """numbers: (source, seq) that ``output`` answers for, rows without output included."""
-        done = self.commits()
-        name, staging = f"commit-{len(done):08d}", f"_staging-{uuid.uuid4().hex}"
-        output.write.parquet(f"{self.path}/{staging}/output")
+        number = self.next_number() if number is None else number
+        staged = self.log.stage()
+        output.write.parquet(f"{staged}/output")
         mine = numbers.select("source", F.col("seq").alias("lo"), F.col("seq").alias("hi"))
-        merge_intervals(self.processed().unionByName(mine)).write.parquet(f"{self.path}/{staging}/intervals")
-        if self._fs.exists(self._p(name)) or not self._fs.rename(self._p(staging), self._p(name)):
-            raise RuntimeError(f"another run committed {name} first; its work stands, this one's is dropped")
-        return name
+        merge_intervals(self.processed(number).unionByName(mine)).write.parquet(f"{staged}/intervals")
+        return self.log.publish(staged, number)

@@ -9,8 +9,11 @@ from pyspark.sql import types as T
 
 from loomwell.functions.instants import parse_instant
 from loomwell.session import scratch
+from loomwell.sources.commits import CommitLog, Conflict
 
 KEYS = ("raw", "zone", "locale")
+#: Parameter: how often a batch that another writer overtook is tried again.
+ATTEMPTS = 8
 
 
 @F.pandas_udf(T.LongType())
@@ -27,38 +30,37 @@ def readable(raw: Column) -> Column:
 
 
 class TimestampDictionary:
-    """Distinct (raw, zone, locale) values with their instants, kept as one folder a batch.
+    """Distinct (raw, zone, locale) values with their instants, kept as one commit a batch.
 
-    ``update`` parses only values not stored yet and appends them; each value is parsed exactly once. A batch is
-    a Spark write with its own folder name, so a failed one leaves nothing that ``load`` reads (no ``_SUCCESS``).
+    ``update`` parses only values not stored yet and appends them, so each value is parsed once. A batch that died
+    before its commit is not seen and doesn't stand in the way; where two runs add at once, the later one looks again
+    at what is new.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch(spark, "instants")
-
-    def _batches(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return []
-        names = [str(x.getPath().toString()) for x in fs.listStatus(at)]
-        return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(n + "/_SUCCESS")))
+        self.spark, self.log = spark, CommitLog(spark, path or scratch(spark, "instants"))
 
     def load(self) -> DataFrame | None:
-        found = self._batches()
+        found = self.log.folders()
         return self.spark.read.schema("raw string, zone string, locale string, utc_us long").parquet(*found) if found else None
 
     def update(self, values: DataFrame) -> DataFrame:
         """values: columns raw, zone, locale. Returns the whole dictionary after adding what is new."""
-        fresh = values.select(*KEYS).where(readable(F.col("raw"))).distinct()
-        known = self.load()
-        if known is not None:
-            on = [F.col(f"f.{k}").eqNullSafe(F.col(f"k.{k}")) for k in KEYS]
-            fresh = fresh.alias("f").join(known.alias("k"), on, "left_anti")
-        parsed = fresh.withColumn("utc_us", instant_udf(*KEYS))
-        parsed.write.parquet(f"{self.path}/batch-{len(self._batches()):06d}")
-        return self.load()
+        for _ in range(ATTEMPTS):
+            number = len(self.log.numbers())
+            fresh = values.select(*KEYS).where(readable(F.col("raw"))).distinct()
+            known = self.load()
+            if known is not None:
+                on = [F.col(f"f.{k}").eqNullSafe(F.col(f"k.{k}")) for k in KEYS]
+                fresh = fresh.alias("f").join(known.alias("k"), on, "left_anti")
+            staged = self.log.stage()
+            fresh.withColumn("utc_us", instant_udf(*KEYS)).write.parquet(staged)
+            try:
+                self.log.publish(staged, number)
+            except Conflict:
+                continue
+            return self.load()
+        raise Conflict(f"{self.log.path}: other writers came first {ATTEMPTS} times")
 
 
 def normalise_timestamps(rows: DataFrame, raw: str, zone: str, locale: str, out: str = "utc_us", dictionary: TimestampDictionary | None = None) -> DataFrame:

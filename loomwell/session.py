@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed limit: a side with more rows than this is never broadcast by hint.
-BROADCAST_ROWS = 200_000
+#: Parameters: a side with more rows or more bytes than this is never broadcast by hint.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -39,7 +39,11 @@ def work_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A folder of this session's own in the shared work folder; it goes when the driver's JVM ends."""
+    path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -49,9 +53,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most rows + 1 rows; beyond that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame has at most so many rows and, written out as JSON, bytes; looks at rows + 1 rows at most."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return seen.n <= rows and seen.b <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting rows and bytes; beyond either bound the join shuffles.
+
+    Counting runs the plan of ``df``, so give it a table or a frame that was written before.
+    """
+    return F.broadcast(df) if small(df, rows, size) else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

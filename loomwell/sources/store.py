@@ -5,33 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwell.sources.commits import CommitLog, Conflict
+
 POSTS = "blog_id string, seq long, key string, url string, title string, html string, date string, modified string, author string, categories array<string>, tags array<string>, excerpt string, featured_image string, source string, fetched_at string"
 ASSETS = "blog_id string, url string, file string, media_type string, error string, permanent boolean, fetched_at timestamp, bytes long"
 BUILDS = "blog_id string, book_id string, built_at timestamp, posts long, files array<string>"
 VERSION = 1
+#: Parameter: how often a change that another writer overtook is tried again.
+ATTEMPTS = 8
 
 
 class Store:
-    """A folder with one table a kind. A commit writes a new folder and then points to it by renaming a marker, so readers
-    see the old rows or the new ones; a missing or unreadable store, or one of another version, is an empty one."""
+    """A folder with one table a kind. A commit is a whole table in a folder of its own, published by a marker that one
+    writer can create (``CommitLog``), so readers see the old rows or the new ones. ``put``, ``remove`` and ``put_assets``
+    read, change and publish; where another writer was first they start again from its rows, so no update is lost. A
+    missing store, or one of another version, is an empty one; a damaged table raises."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join((self.path, *p)))
-        self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _commits(self, kind: str) -> list[str]:
-        at = self._path(f"v{VERSION}", kind)
-        if not self._fs.exists(at):
-            return []
-        return sorted(n for n in (x.getPath().getName() for x in self._fs.listStatus(at)) if n.startswith("commit-"))
+    def _log(self, kind: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self.path}/v{VERSION}/{kind}")
 
     def read(self, kind: str, schema: str) -> DataFrame:
-        done = self._commits(kind)
+        log = self._log(kind)
+        done = log.numbers()
         if not done:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{VERSION}/{kind}/{done[-1]}")
+        return self.spark.read.schema(schema).parquet(log.folder(done[-1]))
+
+    def change(self, kind: str, schema: str, rule, by: str = "blog_id") -> None:
+        """Replace a table by ``rule(its rows)``; the rule is asked again when another writer published first."""
+        log = self._log(kind)
+        for _ in range(ATTEMPTS):
+            done = log.numbers()
+            old = self.spark.read.schema(schema).parquet(log.folder(done[-1])) if done else self.spark.createDataFrame([], schema)
+            staged = log.stage()
+            rows = rule(old)
+            (rows.repartition(by) if by in rows.columns else rows).write.parquet(staged)
+            try:
+                log.publish(staged, len(done))
+            except Conflict:
+                continue
+            return
+        raise Conflict(f"{kind}: other writers came first {ATTEMPTS} times")
 
     def posts(self) -> DataFrame:
         return self.read("posts", POSTS)
@@ -49,16 +66,26 @@ class Store:
 
     def put(self, fresh: DataFrame) -> None:
         """Insert or replace posts by (blog_id, key)."""
-        cached = self.posts()
-        kept = cached.join(fresh.select("blog_id", "key").distinct(), ["blog_id", "key"], "left_anti")
-        self.write("posts", kept.unionByName(fresh, allowMissingColumns=True).select(*cached.columns))
+
+        def rule(cached: DataFrame) -> DataFrame:
+            kept = cached.join(fresh.select("blog_id", "key").distinct(), ["blog_id", "key"], "left_anti")
+            return kept.unionByName(fresh, allowMissingColumns=True).select(*cached.columns)
+
+        self.change("posts", POSTS, rule)
 
     def remove(self, keys: DataFrame) -> None:
-        self.write("posts", self.posts().join(keys.select("blog_id", "key").distinct(), ["blog_id", "key"], "left_anti"))
+        self.change("posts", POSTS, lambda cached: cached.join(keys.select("blog_id", "key").distinct(), ["blog_id", "key"], "left_anti"))
 
     def put_assets(self, rows: DataFrame) -> None:
         """Files and failures by url; a success replaces a failure and the other way round."""
-        cached = self.assets()
-        kept = cached.join(rows.select("blog_id", "url").distinct(), ["blog_id", "url"], "left_anti")
-        named = rows.withColumn("file", F.coalesce("file", F.when(F.col("error").isNull(), F.concat(F.lit("images/"), F.sha1("url")))))
-        self.write("assets", kept.unionByName(named, allowMissingColumns=True).select(*cached.columns))
+
+        def rule(cached: DataFrame) -> DataFrame:
+            kept = cached.join(rows.select("blog_id", "url").distinct(), ["blog_id", "url"], "left_anti")
+            named = rows.withColumn("file", F.coalesce("file", F.when(F.col("error").isNull(), F.concat(F.lit("images/"), F.sha1("url")))))
+            return kept.unionByName(named, allowMissingColumns=True).select(*cached.columns)
+
+        self.change("assets", ASSETS, rule)
+
+    def available_assets(self) -> DataFrame:
+        """(blog_id, url, file, media_type, bytes) of the files that are stored and can be used."""
+        return self.assets().where("error is null and file is not null").select("blog_id", "url", "file", "media_type", "bytes")

@@ -69,3 +69,22 @@ def test_dictionary_parses_a_value_once(spark, tmp_path):
     out = normalise_timestamps(two, "raw", "zone", "locale", dictionary=d)
     assert sorted(r.utc_us for r in out.collect()) == [us(2024, 7, 1), us(2024, 7, 2)]
     assert out.columns == ["raw", "zone", "locale", "utc_us"]
+
+
+def test_dictionary_survives_dead_batches_and_other_writers(spark, tmp_path):
+    path, rows = str(tmp_path / "d"), lambda v: spark.createDataFrame([(v, None, None)], "raw string, zone string, locale string")
+    d = TimestampDictionary(spark, path)
+    rows("2024-07-09").write.parquet(d.log.stage())  # a batch that died before its marker
+    assert d.update(rows("2024-07-01")).count() == 1
+    other, numbers = TimestampDictionary(spark, path), d.log.numbers
+    assert other.update(rows("2024-07-02")).count() == 2
+    first = [True]
+
+    def stale():
+        if first:
+            first.clear()
+            return [0]  # as listed before the other writer's commit
+        return numbers()
+
+    d.log.numbers = stale
+    assert sorted(r.raw for r in d.update(rows("2024-07-03")).collect()) == ["2024-07-01", "2024-07-02", "2024-07-03"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomwell.sources import listing
 from loomwell.sources.config import SettingsError, load_settings, size_of, with_collector_edition
 from loomwell.sources.datasource import PagedListing, fetch_all
-from loomwell.sources.store import Store
+from loomwell.sources.store import POSTS, Store
 from loomwell.streaming import sync_stream
 
 
@@ -71,6 +71,21 @@ def test_store(spark, tmp_path, make_posts):
     assert {(r.url, r.file is not None) for r in s.assets().collect()} == {("u", True), ("v", False)}
 
 
+def test_store_loses_no_update_to_a_second_writer(spark, tmp_path, make_posts):
+    a, b = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "store"))
+    a.put(make_posts([{"key": "a"}]))
+
+    def slow(cached):
+        if not cached.where("key = 'c'").count():
+            b.put(make_posts([{"key": "c"}]))  # the other writer commits between this one's reading and its publishing
+        return cached.unionByName(make_posts([{"key": "b"}]).select(*cached.columns))
+
+    a.change("posts", POSTS, slow)
+    make_posts([{"key": "dead"}]).write.parquet(a._log("posts").stage())  # died before its marker
+    assert {r.key for r in Store(spark, str(tmp_path / "store")).posts().collect()} == {"a", "b", "c"}
+    assert [r.url for r in b.available_assets().collect()] == []
+
+
 def test_settings():
     raw = {"defaults": {"min_chars": 10}, "blogs": [{"id": "a", "url": "https://a.example", "include": "x"}, {"id": "b", "url": "https://b.example"}], "books": [{"id": "both", "blogs": ["a", "b"], "max_bytes": "1 MB"}]}
     s = load_settings(raw, ["a.min_chars=0"])
