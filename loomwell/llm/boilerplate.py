@@ -24,9 +24,9 @@ from loomwell.session import spread
 #: The words of a line count as so many at most, so that long lines aren't overconfident: each of more words counts less.
 SAMPLE_PAGES, PULL, MOST_COST, WORDS = 2_000, 60.0, 6.0, 12
 #: Edges: lines in a row, in one innermost element, in one outermost element, entries of one list, a heading and the list
-#: after it. BIAS is what calling a
-#: line boilerplate costs, SURE the odds that one line of a page must reach before any is cut off.
-NEXT, SAME_PARENT, SAME_TOP, SAME_LIST, HEADED, BIAS, SURE = 0.8, 1.2, 0.8, 2.0, 2.0, 0.7, 3.0
+#: after it. BIAS is what calling a line boilerplate costs, STATED what elements that state a line's place add to the
+#: capacity of that side.
+NEXT, SAME_PARENT, SAME_TOP, SAME_LIST, HEADED, BIAS, STATED = 0.8, 1.2, 0.8, 2.0, 2.0, 1.5, 6.0
 
 # Element names and words in class, id and role that state the part of a page.
 PART_TAGS = frozenset(("nav", "footer", "aside"))
@@ -175,14 +175,16 @@ def max_flow_side(n: int, source: list[float], sink: list[float], edges: list[tu
 
 
 def label_lines(lines: list[Line], model: LineModel) -> list[bool]:
-    """True for each line that belongs to a part around the article."""
+    """True for each line that belongs to a part around the article; everything that decides is a capacity."""
+    if not lines:
+        return []
     odds = [max(-MOST_COST, min(MOST_COST, model.odds(f) - BIAS)) for f in line_features(lines)]
     for i, x in enumerate(lines):
         part = stated_part(x)
         if part is not None:
-            odds[i] = max(odds[i], 0.5) + 2 if part else min(odds[i], -0.5) - 2
-    if max(odds) < SURE:
-        return [False] * len(lines)
+            odds[i] += STATED if part else -STATED
+    if max(odds) <= 0:
+        return [False] * len(lines)  # no line has a capacity on the other side: the cut is empty
     edges = []
     last: dict[tuple[int, ...], int] = {}
     for i, x in enumerate(lines):
@@ -202,16 +204,7 @@ def label_lines(lines: list[Line], model: LineModel) -> list[bool]:
             if key in last and last[key] != i - 1:
                 edges.append((last[key], i, SAME_LIST))
             last[key] = i
-    around = max_flow_side(len(lines), [max(0.0, o) for o in odds], [max(0.0, -o) for o in odds], edges)
-    i = 0
-    while i < len(around):  # a run in which no line is sure stays with the article
-        j = i
-        while j < len(around) and around[j]:
-            j += 1
-        if i < j and max(odds[i:j]) < SURE:
-            around[i:j] = [False] * (j - i)
-        i = max(j, i + 1)
-    return around
+    return max_flow_side(len(lines), [max(0.0, o) for o in odds], [max(0.0, -o) for o in odds], edges)
 
 
 def split_page(html: str | None, model: LineModel) -> tuple[list[str], list[str]]:
