@@ -290,3 +290,29 @@ def test_words_at_the_end_of_a_long_line_tell_its_place():
     model = boilerplate.LineModel.fit(pages)
     plain, told = (parse_page(f"<p>{SENTENCES[3]} {SENTENCES[11][:-1]}{end}.</p>").lines for end in ("", f" {notice}"))
     assert model.odds(boilerplate.line_features(told)[0]) > model.odds(boilerplate.line_features(plain)[0]) + 1
+
+
+@pytest.mark.parametrize("spacing", range(4, 10))
+def test_leaks_with_changed_words(spacing):
+    items = [(k, " ".join(f"w{k}x{j}" if j % 3 else "the" for j in range(70))) for k in range(5)] + [(90, "Yes"), (91, "no answer"), (92, "")]
+    index = leakage.ItemIndex(items)
+    for off in range(spacing):
+        said = [f"other{j}" if j % spacing == off else w for j, w in enumerate(items[2][1].split())]
+        text = " ".join(SENTENCES[:3]) + " " + " ".join(said[10:30]) + " " + SENTENCES[4] + " " + " ".join(said[45:65]) + " end"
+        assert index.leaks([text, SENTENCES[0], "yes", None, ""]) == [[2], [], [90], [], []]
+
+
+def test_windows_find_all_fingerprints_within_a_radius():
+    import numpy as np
+
+    made = np.random.default_rng(1)
+    stored, queries = made.integers(0, 1 << 63, 400, dtype=np.uint64), made.integers(0, 1 << 63, 300, dtype=np.uint64)
+    queries[:200] = stored[:200]
+    for k in range(200):
+        queries[k] ^= np.uint64(sum(1 << int(b) for b in made.choice(64, k % 5, replace=False)))
+    for radius in (0, 3):
+        q, p = leakage.HammingIndex(stored, radius).search(queries)
+        assert set(zip(q.tolist(), p.tolist(), strict=True)) == {(i, j) for i in range(300) for j in range(400) if int(queries[i] ^ stored[j]).bit_count() <= radius}
+    h = leakage.WordHashes()("a b c d e f g h".split())
+    wide = (((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(int))
+    assert leakage.simhashes(h, 3).tolist() == [sum(1 << b for b in range(64) if wide[i : i + 3, b].sum() >= 2) for i in range(6)]
