@@ -128,7 +128,7 @@ def stretches(item: np.ndarray, doc: np.ndarray, diagonals: set[int]) -> list[tu
     same[:, 1:-1] = (at >= 0) & (at < len(doc)) & (item == doc[np.clip(at, 0, len(doc) - 1)])
     edges = np.diff(same.astype(np.int8), axis=1)
     (row, begin), (_, end) = np.nonzero(edges == 1), np.nonzero(edges == -1)
-    long = end - begin >= 2
+    long = end - begin >= min(2, len(item))
     done: list[list[int]] = []
     for a, b, d in sorted(zip(begin[long].tolist(), end[long].tolist(), near[row[long]].tolist(), strict=True)):
         best = None
