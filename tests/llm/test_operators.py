@@ -185,6 +185,27 @@ def test_packing(spark, monkeypatch):
     assert got[got.target_id == 2].doc_id.value_counts().max() == 2 and (got.doc_id == 901).sum() == 2
 
 
+def test_packing_what_nothing_fits(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ITEMS", 50)
+    monkeypatch.setattr(packing, "TARGETS_AT_ONCE", 1)
+    seen = []
+    plain = packing._pack
+    docs = spark.createDataFrame([(i, 55) for i in range(2000)] + [(3000, 1), (3001, 44)], "doc_id long, tokens long")
+    targets = spark.createDataFrame([(1, 100), (2, 120), (3, 50)], "target_id long, capacity_tokens long")
+
+    def watched(number):
+        seen.append(number)
+        return plain(number)
+
+    monkeypatch.setattr(packing, "_pack", watched)
+    got = packing.pack_documents(docs, targets).toPandas()
+    per = got.groupby(["target_id", "container_id"]).tokens.sum().reset_index()
+    assert (per.tokens <= per.target_id.map({1: 100, 2: 120, 3: 50})).all()
+    assert got.groupby("target_id").tokens.sum().tolist() == [2000 * 55 + 45] * 3
+    assert per.groupby("target_id").container_id.nunique().tolist()[:2] == [2000, 1001]
+    assert len(seen) <= 3 * 8
+
+
 def test_tokens_and_best_fit():
     assert packing.count_tokens(None) == packing.count_tokens("") == 0 and packing.count_tokens("a text of words") == 4
     bins = packing.best_fit([5, 5, 4, 3, 3], 10)
@@ -316,3 +337,21 @@ def test_windows_find_all_fingerprints_within_a_radius():
     h = leakage.WordHashes()("a b c d e f g h".split())
     wide = (((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(int))
     assert leakage.simhashes(h, 3).tolist() == [sum(1 << b for b in range(64) if wide[i : i + 3, b].sum() >= 2) for i in range(6)]
+
+
+def test_damage_of_a_few_letters_and_of_references(spark):
+    russian = "Наши редакторы проверили отчёт перед выпуском и сохранили старую версию правил для партнёров на случай отката"
+    german = "Die Übersichten für größere Änderungen bündeln stille Prüfberichte, und Partner ändern müde Verträge häufiger"
+    d = encoding_repair.Describer({"ru": (russian * 20).encode(), "de": (german * 20).encode()}, "".join(sorted({c for c in russian + german if ord(c) > 127})))
+    hurt = "Für die Partner bleibt der Bericht vor der Umstellung offen, und häufiger"
+    assert encoding_repair.repair_text(hurt.replace("ü", "Ã¼").replace("ä", "Ã¤"), d)[0] == hurt
+    written = "".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in hurt.encode().decode("cp1252"))
+    assert encoding_repair.repair_text(written, d)[:2] == (hurt, "references, cp1252>utf-8")
+    right = "".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in hurt)
+    assert encoding_repair.repair_text(right, d) == (right, None, False)
+    told = "The page shows \u201c&#195;&#169;\u201d instead of the letter"
+    assert encoding_repair.repair_text(told, d)[1] is None
+    deep = hurt
+    for _ in range(5):
+        deep = deep.encode().decode("latin-1")
+    assert encoding_repair.repair_text(deep, d)[0] == hurt
