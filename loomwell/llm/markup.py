@@ -1,7 +1,8 @@
 """Problem 4: markup that readers would see as characters, and its conversion to clean text with structure.
 
-A host suffix array finds strings that pages share; whether a string is markup it cannot tell, so the cases come from
-readers for the four syntaxes instead (see the README). What stands in code samples, however marked, is set aside first.
+A sparse suffix array of each host (``suffixes``) tells the strings that its pages share; lines covered by them are
+boilerplate and left out, and what is unique to a page is read for the four syntaxes. What stands in code samples,
+however marked, is set aside first.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwell.functions.htmlblocks import parse_page
-from loomwell.session import spread
+from loomwell.functions.htmlblocks import Page, parse_page
+from loomwell.llm.suffixes import covered_lines, page_tokens, shared_suffixes, suffixes
+from loomwell.session import broadcast_if_small, materialise, small, spread
 
 # Element names of HTML that count when they are shown as text.
 TAGS = (
@@ -40,8 +42,8 @@ _SIGNS = ("**", "__", "~~", "](", "]:", "`", "#", "---", "\n>", "\n-", "\n+", "\
 _TICKS = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)\1(?!`)")
 _INDENTED = re.compile(r"^(?:[ ]+|\t)\S.*$", re.M)
 
-_MD_STRONG = re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\])__(?=[^\s_])[^_\n]{1,300}?(?<=[^\s_])__(?![\w_])|~~(?=\S)[^~\n]+?(?<=\S)~~")
-_MD_EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_])")
+_MD_STRONG = re.compile(r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*\*(?![\w*])|(?<![\w_\\])__(?=[^\s_])[^_\n]+?(?<=[^\s_])__(?![\w_])|~~(?=\S)[^~\n]+?(?<=\S)~~")
+_MD_EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_])")
 _MD_LINK = re.compile(r"!?\[[^\[\]\n]*\]\((?:https?://|/|#|\.|mailto:)[^()\s]*(?:\s+\"[^\"\n]*\")?\)|^\[[^\]\n]+\]:\s+https?://\S+", re.M)
 _MD_HEAD = re.compile(r"^#{1,6}[ \t]+\S[^\n]*$", re.M)
 _MD_RULED = re.compile(r"^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$", re.M)
@@ -51,7 +53,7 @@ _MD_LIST = re.compile(r"^[-+][ \t]+\S[^\n]*\n+[-+][ \t]+\S", re.M)
 
 _WIKI_HEAD = re.compile(r"(?:^|(?<=\s))(={2,6})[ \t]*[^=\n]*[^=\s][ \t]*\1(?=\s|$)", re.M)
 _WIKI_LINK = re.compile(r"\[\[[^\[\]\n{}]+\]\]|\[(?:https?:)?//[^\s\]]+[ \t]+[^\]\n]+\]")
-_WIKI_QUOTE = re.compile(r"(?<!')'{2,3}(?!')(?=\S)[^\n]{1,400}?(?<=[^\s'])'{2,3}(?!')")
+_WIKI_QUOTE = re.compile(r"(?<!')'{2,3}(?!')(?=\S)[^\n]+?(?<=[^\s'])'{2,3}(?!')")
 _WIKI_TABLE = re.compile(r"^\{\|.*$|^\|-+\s*$|^\|\}\s*$", re.M)
 _WIKI_TAG = re.compile(r"</?(?:syntaxhighlight|nowiki|math|gallery|references|ref)\b[^<>]*>|__(?:NO)?TOC__|^#REDIRECT\b", re.I | re.M)
 _WIKI_CALL = re.compile(r"\{\{[^{}|\n.$%]+\|[^{}\n]+\}\}")
@@ -72,9 +74,9 @@ def without_samples(text: str, inline: bool = True) -> str:
     return _TICKS.sub("` `", text) if inline and "`" in text else text
 
 
-def page_text(html: str | None) -> str:
-    """The text of an html value as its reader sees it, line by line, with the content of code elements left out."""
-    return "\n".join(x.prose for x in parse_page(html).lines if not x.pre)
+def page_text(page: Page, without: set[int] | frozenset[int] = frozenset()) -> str:
+    """The text of a page as its reader sees it, line by line, with the content of code elements left out."""
+    return "\n".join(x.prose for i, x in enumerate(page.lines) if not x.pre and i not in without)
 
 
 def evidence(text: str) -> dict[str, int]:
@@ -109,8 +111,12 @@ def _settled(weights: dict[str, int]) -> list[str]:
     return [k for k, w in weights.items() if w >= 2]
 
 
-def html_residue(html: str | None) -> list[str]:
-    return _settled(evidence(page_text(html))) if html else []
+def html_residue(html: str | None, shared: set[int] | None = None) -> list[str]:
+    """Kinds of markup shown, in the lines that no ``shared`` suffixes cover."""
+    if not html:
+        return []
+    page = parse_page(html)
+    return _settled(evidence(page_text(page, covered_lines(page, shared) if shared else frozenset())))
 
 
 def excerpt_residue(excerpt: str | None) -> list[str]:
@@ -132,9 +138,9 @@ _INLINE = [
     (re.compile(r"\[\[(?:File|Image|Datei|Fichier|Archivo|Plik|Файл):(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]", re.I), r"\1"),
     (re.compile(r"\[\[(?:[^\[\]|\n{}]*\|)?([^\[\]|\n{}]+)\]\]"), r"\1"),
     (re.compile(r"\[(?:https?:)?//[^\s\]]+[ \t]+([^\]\n]+)\]"), r"\1"),
-    (re.compile(r"(?<!')'{2,5}(?!')((?=\S)[^\n]{1,400}?(?<=[^\s']))'{2,5}(?!')"), r"\1"),
-    (re.compile(r"(?<![\w*\\])\*{1,3}(?=[^\s*])([^*\n]{1,300}?)(?<=[^\s*])\*{1,3}(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![\w_\\])_{1,2}(?=[^\s_])([^_\n]{1,300}?)(?<=[^\s_])_{1,2}(?![\w_])"), r"\1"),
+    (re.compile(r"(?<!')'{2,5}(?!')((?=\S)[^\n]+?(?<=[^\s']))'{2,5}(?!')"), r"\1"),
+    (re.compile(r"(?<![\w*\\])\*{1,3}(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*{1,3}(?![\w*])"), r"\1"),
+    (re.compile(r"(?<![\w_\\])_{1,2}(?=[^\s_])([^_\n]+?)(?<=[^\s_])_{1,2}(?![\w_])"), r"\1"),
     (re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~"), r"\1"),
     (re.compile(r"\\href(?:\[[^\]\n]*\])?\{[^{}\n]*\}\{([^{}\n]*)\}"), r"\1"),
     (re.compile(r"~?\\(?:cite[pt]?|ref|eqref|autoref|label|includegraphics)(?:\[[^\]\n]*\])?\{[^{}\n]*\}"), ""),
@@ -157,8 +163,9 @@ def _inline(text: str) -> str:
     return " ".join(_TICKS.sub(r"\2", text).split())
 
 
-def structured(html: str | None) -> list[tuple[str, int, str]]:
-    """Blocks (kind, level, clean text): heading, paragraph, item, row, quote, code or formula.
+def structured(html: str | None, shared: set[int] | None = None) -> list[tuple[str, int, str]]:
+    """Blocks (kind, level, clean text): heading, paragraph, item, row, quote, code or formula. Lines that ``shared``
+    suffixes cover are left out.
 
     Elements of working html, shown html, Markdown, wiki and LaTeX are read alike; code keeps its characters and line
     breaks, formulas keep their source, everything else loses its markup.
@@ -171,7 +178,11 @@ def structured(html: str | None) -> list[tuple[str, int, str]]:
         if text:
             out.append((kind, level, text))
 
-    for line in parse_page(html).lines:
+    page = parse_page(html)
+    without = covered_lines(page, shared) if shared else frozenset()
+    for number, line in enumerate(page.lines):
+        if number in without:
+            continue
         raw = line.raw.rstrip()
         if line.pre:
             if out and out[-1][0] == "code" and out[-1][1] == line.nodes[0]:
@@ -222,9 +233,13 @@ def structured(html: str | None) -> list[tuple[str, int, str]]:
     return [(k, 0 if k == "code" else n, t) for k, n, t in out]
 
 
+def _set(values) -> set[int] | None:
+    return None if values is None else set(values)
+
+
 @F.pandas_udf(_BLOCK)
-def _blocks(values: pd.Series) -> pd.Series:
-    return values.map(structured)
+def _blocks(values: pd.Series, shared: pd.Series) -> pd.Series:
+    return pd.Series([structured(v, _set(s)) for v, s in zip(values, shared, strict=True)])
 
 
 @F.pandas_udf(T.StringType())
@@ -232,26 +247,70 @@ def _plain(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else " ".join(t for _, _, t in structured(v)))
 
 
+_LONGS = T.ArrayType(T.LongType())
+
+
+@F.pandas_udf(_LONGS)
+def _kept(htmls: pd.Series) -> pd.Series:
+    return pd.Series([suffixes(page_tokens(parse_page(h))[0])[0].tolist() for h in htmls])
+
+
+def _with_shared(rows: DataFrame, kept: DataFrame, shared: DataFrame) -> DataFrame:
+    """Give each row (by seq) those of its suffixes that other pages have, or null. The suffixes that a page shares are
+    fewer than its tokens; where those of all pages are small they are broadcast."""
+    each = kept.select("seq", F.col("blog_id").alias("_h"), F.explode("suffixes").alias("suffix"))
+    met = each.join(broadcast_if_small(shared), F.col("_h").eqNullSafe(F.col("host")) & (each["suffix"] == shared["suffix"]), "left_semi")
+    mine = met.groupBy("seq").agg(F.collect_set("suffix").alias("_shared"))
+    return rows.join(mine, "seq", "left")
+
+
 def clean_text(posts: DataFrame) -> DataFrame:
-    """(seq, block, kind, level, text) of html and (seq, -1, 'excerpt', 0, text) of excerpts: clean text in order.
+    """(seq, block, kind, level, text) of html and (seq, -1, 'excerpt', 0, text) of excerpts: clean text in order, without
+    the lines that the host's pages share.
 
     Null and empty fields give no rows.
     """
-    rows = spread(posts.select("seq", "html", "excerpt"), "seq")
-    body = rows.select("seq", F.posexplode(_blocks(F.coalesce("html", F.lit("")))).alias("block", "b")).select("seq", "block", "b.kind", "b.level", "b.text")
+    rows = spread(posts.select("seq", "blog_id", "key", "html", "excerpt"), "seq")
+    kept = materialise(rows.where("html <> ''").select("seq", "blog_id", "key", _kept("html").alias("suffixes")), "page-suffixes")
+    bodies = _with_shared(rows.select("seq", "html"), kept, shared_suffixes(kept))
+    body = bodies.select("seq", F.posexplode(_blocks(F.coalesce("html", F.lit("")), "_shared")).alias("block", "b")).select("seq", "block", "b.kind", "b.level", "b.text")
     short = rows.where("excerpt <> ''").select("seq", F.lit(-1).alias("block"), F.lit("excerpt").alias("kind"), F.lit(0).alias("level"), _plain("excerpt").alias("text"))
     return body.unionByName(short)
 
 
-_CASES = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("kind", T.StringType())]))
+_STRINGS = T.ArrayType(T.StringType())
+_READ = T.StructType([T.StructField("html_kinds", _STRINGS), T.StructField("excerpt_kinds", _STRINGS), T.StructField("suffixes", _LONGS)])
+
 
+@F.pandas_udf(_READ)
+def _read(htmls: pd.Series, excerpts: pd.Series) -> pd.DataFrame:
+    out = []
+    for h, e in zip(htmls, excerpts, strict=True):
+        page = parse_page(h)
+        out.append((_settled(evidence(page_text(page))), excerpt_residue(e), suffixes(page_tokens(page)[0])[0].tolist()))
+    return pd.DataFrame(out, columns=_READ.names)
 
-@F.pandas_udf(_CASES)
-def _cases(htmls: pd.Series, excerpts: pd.Series) -> pd.Series:
-    return pd.Series([[("html", k) for k in html_residue(h)] + [("excerpt", k) for k in excerpt_residue(e)] for h, e in zip(htmls, excerpts, strict=True)])
+
+@F.pandas_udf(_STRINGS)
+def _unique_kinds(htmls: pd.Series, shared: pd.Series) -> pd.Series:
+    return pd.Series([html_residue(h, _set(s)) for h, s in zip(htmls, shared, strict=True)])
 
 
 def residue(posts: DataFrame) -> DataFrame:
-    """(seq, field, kind) of the markup that readers would see. Null and empty fields have none."""
-    rows = spread(posts.select("seq", "html", "excerpt"), "seq")
-    return rows.select("seq", F.inline(_cases("html", "excerpt"))).distinct()
+    """(seq, field, kind) of the markup that readers would see. Null and empty fields have none.
+
+    One pass reads every page for syntax and for its suffixes. Leaving lines out can't add a case to a page without any,
+    so only pages with syntax and with strings that other pages of the host have are read again, without these.
+    """
+    rows = spread(posts.select("seq", "blog_id", "key", "html", "excerpt"), "seq")
+    seen = materialise(rows.select("seq", "blog_id", "key", _read("html", "excerpt").alias("r")).select("seq", "blog_id", "key", "r.*"), "markup-pages")
+    marked = seen.where(F.size("html_kinds") > 0)
+    shared = shared_suffixes(seen)
+    again = materialise(_with_shared(marked.select("seq", "html_kinds"), marked.select("seq", "blog_id", "suffixes"), shared), "markup-shared")
+    doubtful = again.where("_shared is not null").select("seq", "_shared").dropDuplicates(["seq"])
+    htmls = posts.select("seq", "html").join(F.broadcast(doubtful) if small(doubtful) else doubtful, "seq")
+    reread = htmls.select("seq", F.explode(_unique_kinds("html", "_shared")).alias("kind"))
+    plain = again.where("_shared is null").select("seq", F.explode("html_kinds").alias("kind"))
+    html = plain.unionByName(reread).select("seq", F.lit("html").alias("field"), "kind")
+    excerpt = seen.select("seq", F.lit("excerpt").alias("field"), F.explode("excerpt_kinds").alias("kind"))
+    return html.unionByName(excerpt).distinct()

@@ -235,8 +235,8 @@ def test_hamming_index_is_exact():
     for k in range(80):
         for b in rng.choice(64, k % 6, replace=False):
             queries[k] ^= np.uint64(1) << np.uint64(b)
-    q, p = leakage.HammingIndex(stored).search(queries)
-    want = {(i, j) for i in range(80) for j in range(300) if bin(int(queries[i] ^ stored[j])).count("1") <= leakage.RADIUS}
+    q, p = leakage.HammingIndex(stored, 3).search(queries)
+    want = {(i, j) for i in range(80) for j in range(300) if bin(int(queries[i] ^ stored[j])).count("1") <= 3}
     assert set(zip(q.tolist(), p.tolist(), strict=True)) == want
 
 
@@ -355,3 +355,36 @@ def test_damage_of_a_few_letters_and_of_references(spark):
     for _ in range(5):
         deep = deep.encode().decode("latin-1")
     assert encoding_repair.repair_text(deep, d)[0] == hurt
+
+
+def test_sparse_suffix_array_finds_every_shared_string():
+    import random
+
+    from loomwell.functions.htmlblocks import parse_page
+    from loomwell.llm import suffixes
+
+    made = random.Random(4)
+    least = suffixes.DEPTH + suffixes.WINDOW - 1
+    text = lambda n: [f"w{made.randrange(10**6)}" for _ in range(n)]
+    for _ in range(40):
+        common = text(least)
+        a, b = text(made.randrange(60)) + common + text(made.randrange(60)), text(made.randrange(60)) + common + text(made.randrange(60))
+        pa, pb = (parse_page(f"<p>{' '.join(x)}</p>") for x in (a, b))
+        assert set(suffixes.suffixes(suffixes.page_tokens(pa)[0])[0].tolist()) & set(suffixes.suffixes(suffixes.page_tokens(pb)[0])[0].tolist())
+    line = " ".join(text(40))
+    page = parse_page(f"<p>{line}</p><p>own words here</p><pre>{line}</pre>")
+    shared = set(suffixes.suffixes(suffixes.page_tokens(parse_page(f"<p>{line}</p>"))[0])[0].tolist())
+    tokens, lines = suffixes.page_tokens(page)
+    assert len(tokens) == 43 and suffixes.covered_lines(page, set()) == set()
+    assert suffixes.covered_lines(parse_page(f"<p>{line}</p>"), shared) == set()  # a copy as a whole is no boilerplate
+
+
+def test_shared_markup_is_left_out(make_posts):
+    filler = " ".join(f"narrow{k}" for k in range(30))
+    note = f"See **this** {filler} and [that](https://e.example/x) {filler}"
+    rows = [{"key": f"k{i}", "html": f"<p>own text {' '.join(f'x{i}y{j}' for j in range(30))}</p><p>{filler}</p><p>{note}</p><p>{filler} {filler}</p>" + ("<p>really **bold** here</p>" if i == 2 else "")} for i in range(4)]
+    rows += [{"key": "lone", "html": "<p>lone **bold** text</p>"}, {"key": "**" * 400, "html": "<p>**" + "very " * 200 + "long**</p>"}]
+    got = {tuple(r) for r in markup.residue(make_posts(rows)).collect()}
+    assert got == {(s, "html", "markdown") for s in (2, 4, 5)}
+    text = markup.clean_text(make_posts(rows)).where("seq < 4").collect()
+    assert text and not any("See" in r.text for r in text)
