@@ -124,23 +124,43 @@ def parse(html: str, root: str = "div") -> Node:
     return top
 
 
+def without(root: Node, gone: Callable[[Node], bool]) -> Node:
+    """A copy of a tree without the nodes below the root that ``gone`` names, and what is in them."""
+    top = Node(root.tag, root.attrs)
+    waiting = [(root, top)]
+    while waiting:
+        old, new = waiting.pop()
+        for k in old.kids:
+            if not isinstance(k, Node):
+                new.add(k)
+            elif not gone(k):
+                copy = Node(k.tag, k.attrs)
+                new.add(copy)
+                waiting.append((k, copy))
+    return top
+
+
 def serialise(node: Node, xhtml: bool = True) -> str:
     out: list[str] = []
-
-    def put(n: Node | str, raw: bool) -> None:
+    waiting: list[tuple[Node | str, bool] | None] = [(node, False)]
+    closing: list[str] = []
+    while waiting:
+        top = waiting.pop()
+        if top is None:
+            out.append(f"</{closing.pop()}>")
+            continue
+        n, raw = top
         if isinstance(n, str):
             out.append(n if raw else escape(n, quote=False))
-            return
+            continue
         attrs = "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items() if re.fullmatch(r"[A-Za-z_][\w.-]*", k))
         if not n.kids and (n.tag in VOID or xhtml):
             out.append(f"<{n.tag}{attrs}/>" if xhtml else f"<{n.tag}{attrs}>")
-            return
+            continue
         out.append(f"<{n.tag}{attrs}>")
-        for k in n.kids:
-            put(k, not xhtml and n.tag in ("script", "style"))
-        out.append(f"</{n.tag}>")
-
-    put(node, False)
+        closing.append(n.tag)
+        waiting.append(None)
+        waiting.extend((k, not xhtml and n.tag in ("script", "style")) for k in reversed(n.kids))
     return "".join(out)
 
 
@@ -222,14 +242,11 @@ def outermost(root: Node, selectors: list[str]) -> list[Node]:
     """Matches of any selector in document order, without those inside another match."""
     tests = [selector(s) for s in selectors]
     out: list[Node] = []
-
-    def visit(n: Node) -> None:
-        for k in n.kids:
-            if isinstance(k, Node):
-                if any(t(k) for t in tests):
-                    out.append(k)
-                else:
-                    visit(k)
-
-    visit(root)
+    waiting = [k for k in reversed(root.kids) if isinstance(k, Node)]
+    while waiting:
+        n = waiting.pop()
+        if any(t(n) for t in tests):
+            out.append(n)
+        else:
+            waiting.extend(k for k in reversed(n.kids) if isinstance(k, Node))
     return out
