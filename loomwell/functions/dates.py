@@ -58,6 +58,15 @@ def local_month(date: Column | str) -> Column:
     return F.when(col(date).rlike(r"^\d{4}-\d{2}"), F.substring(col(date), 1, 7)).otherwise("Undated")
 
 
+def wall_year(wall_us: Column | str) -> Column:
+    """The year of a wall clock in microseconds, Undated without one."""
+    return F.coalesce(F.date_format(F.timestamp_micros(col(wall_us)), "yyyy"), F.lit("Undated"))
+
+
+def wall_month(wall_us: Column | str) -> Column:
+    return F.coalesce(F.date_format(F.timestamp_micros(col(wall_us)), "yyyy-MM"), F.lit("Undated"))
+
+
 def month_label(date: Column | str) -> Column:
     day = F.try_to_date(F.concat(F.substring(col(date), 1, 7), F.lit("-01")), "yyyy-MM-dd")
     return F.coalesce(F.date_format(day, "MMMM yyyy"), F.lit("Undated"))

@@ -108,7 +108,7 @@ def _rest(rest: str) -> tuple[str | None, int | None, ZoneInfo | None] | None:
     return None if rest.strip(" .,") else (half, offset, zone)
 
 
-def _micros(y: int, mo: int, d: int, g: dict[str, str | None], tail: str, tz: str | None) -> int | None:
+def _micros(y: int, mo: int, d: int, g: dict[str, str | None], tail: str, tz: str | None) -> tuple[int, int] | None:
     parts = _rest(tail)
     if parts is None or y < FIRST_YEAR:
         return None
@@ -133,11 +133,17 @@ def _micros(y: int, mo: int, d: int, g: dict[str, str | None], tail: str, tz: st
     else:
         # fold=0: the first of two equal clock times, and the offset before a gap
         at = wall.replace(tzinfo=zone or _zone(tz or "UTC") or UTC, fold=0).astimezone(UTC)
-    return calendar.timegm(at.timetuple()) * 1_000_000 + at.microsecond
+    return tuple(calendar.timegm(x.timetuple()) * 1_000_000 + x.microsecond for x in (at, wall))
 
 
 def parse_instant(raw: str | None, tz: str | None, locale: str | None) -> int | None:
-    """Microseconds since 1970 in UTC, or None for null, empty, unreadable values and years before 1995.
+    """Microseconds since 1970 in UTC, or None for null, empty, unreadable values and years before 1995."""
+    found = parse_clock(raw, tz, locale)
+    return found[0] if found else None
+
+
+def parse_clock(raw: str | None, tz: str | None, locale: str | None) -> tuple[int, int] | None:
+    """(instant, wall clock as written) in microseconds, or None; a plain number's wall clock is that of ``tz``.
 
     A stated offset, zone or abbreviation counts; without one the clock is ``tz``'s. Digits alone are seconds (10) or
     milliseconds (13). In numeric dates the month stands first only for en-US; month names follow ``locale``.
@@ -147,7 +153,10 @@ def parse_instant(raw: str | None, tz: str | None, locale: str | None) -> int |
         return None
     if re.fullmatch(r"\d{10}|\d{13}", text):
         us = int(text) * (1_000_000 if len(text) == 10 else 1000)
-        return us if us >= calendar.timegm((FIRST_YEAR, 1, 1, 0, 0, 0)) * 1_000_000 else None
+        if us < calendar.timegm((FIRST_YEAR, 1, 1, 0, 0, 0)) * 1_000_000:
+            return None
+        wall = datetime.fromtimestamp(us // 1_000_000, _zone(tz or "UTC") or UTC)
+        return us, calendar.timegm(wall.timetuple()) * 1_000_000 + us % 1_000_000
     lang, _, region = (locale or "en-US").replace("_", "-").partition("-")
     if m := _ISO.fullmatch(text):
         return _micros(int(m["y"]), int(m["mo"]), int(m["d"]), m.groupdict(), m["rest"] or "", tz)
@@ -160,7 +169,7 @@ def parse_instant(raw: str | None, tz: str | None, locale: str | None) -> int |
     return _worded(text, lang, tz)
 
 
-def _worded(text: str, lang: str, tz: str | None) -> int | None:
+def _worded(text: str, lang: str, tz: str | None) -> tuple[int, int] | None:
     """Dates with a month name in any order: find day, month and year, then read the clock after them."""
     month = day = year = None
     end = 0

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwell.functions.instants import parse_instant
+from loomwell.functions.instants import parse_clock
 from loomwell.session import scratch
 from loomwell.sources.commits import CommitLog, Conflict
 
@@ -16,9 +16,13 @@ KEYS = ("raw", "zone", "locale")
 ATTEMPTS = 8
 
 
-@F.pandas_udf(T.LongType())
-def instant_udf(raw: pd.Series, zone: pd.Series, locale: pd.Series) -> pd.Series:
-    return pd.Series([parse_instant(r, z, c) for r, z, c in zip(raw, zone, locale, strict=True)], dtype="Int64")
+_CLOCK = T.StructType([T.StructField("utc_us", T.LongType()), T.StructField("wall_us", T.LongType())])
+
+
+@F.pandas_udf(_CLOCK)
+def clock_udf(raw: pd.Series, zone: pd.Series, locale: pd.Series) -> pd.DataFrame:
+    rows = [parse_clock(r, z, c) or (None, None) for r, z, c in zip(raw, zone, locale, strict=True)]
+    return pd.DataFrame(rows, columns=_CLOCK.names, dtype="Int64")
 
 
 def readable(raw: Column) -> Column:
@@ -42,7 +46,7 @@ class TimestampDictionary:
 
     def load(self) -> DataFrame | None:
         found = self.log.folders()
-        return self.spark.read.schema("raw string, zone string, locale string, utc_us long").parquet(*found) if found else None
+        return self.spark.read.schema("raw string, zone string, locale string, utc_us long, wall_us long").parquet(*found) if found else None
 
     def update(self, values: DataFrame) -> DataFrame:
         """values: columns raw, zone, locale. Returns the whole dictionary after adding what is new."""
@@ -54,7 +58,7 @@ class TimestampDictionary:
                 on = [F.col(f"f.{k}").eqNullSafe(F.col(f"k.{k}")) for k in KEYS]
                 fresh = fresh.alias("f").join(known.alias("k"), on, "left_anti")
             staged = self.log.stage()
-            fresh.withColumn("utc_us", instant_udf(*KEYS)).write.parquet(staged)
+            fresh.select(*KEYS, clock_udf(*KEYS).alias("_c")).select(*KEYS, "_c.*").write.parquet(staged)
             try:
                 self.log.publish(staged, number)
             except Conflict:
@@ -63,8 +67,8 @@ class TimestampDictionary:
         raise Conflict(f"{self.log.path}: other writers came first {ATTEMPTS} times")
 
 
-def normalise_timestamps(rows: DataFrame, raw: str, zone: str, locale: str, out: str = "utc_us", dictionary: TimestampDictionary | None = None) -> DataFrame:
-    """Add ``out`` (microseconds since 1970, UTC, or null) for the text in ``raw``.
+def normalise_timestamps(rows: DataFrame, raw: str, zone: str, locale: str, out: str = "utc_us", wall: str | None = None, dictionary: TimestampDictionary | None = None) -> DataFrame:
+    """Add ``out`` (microseconds since 1970, UTC, or null) for the text in ``raw``, and ``wall``, the clock as written.
 
     Nulls, empty texts, placeholders, unreadable values and years before 1995 give null; a null zone means UTC and a
     null locale en-US. Rows are kept as they are, repeated ones too; an empty table gives an empty table; columns named
@@ -76,8 +80,8 @@ def normalise_timestamps(rows: DataFrame, raw: str, zone: str, locale: str, out:
     good = readable(F.col("_r.raw"))
     on = good & (F.col("_r.raw") == F.col("_d.raw")) & F.col("_r.zone").eqNullSafe(F.col("_d.zone")) & F.col("_r.locale").eqNullSafe(F.col("_d.locale"))
     joined = keyed.alias("_r").join(table.alias("_d"), on, "left")
-    kept = [F.col(f"_r._row.`{c}`").alias(c) for c in rows.columns if c != out]
-    return joined.select(*kept, F.col("_d.utc_us").alias(out))
+    kept = [F.col(f"_r._row.`{c}`").alias(c) for c in rows.columns if c not in (out, wall)]
+    return joined.select(*kept, F.col("_d.utc_us").alias(out), *([F.col("_d.wall_us").alias(wall)] if wall else []))
 
 
 def instants_found(posts: DataFrame, blogs: DataFrame, dictionary: TimestampDictionary | None = None) -> DataFrame:
@@ -88,3 +92,10 @@ def instants_found(posts: DataFrame, blogs: DataFrame, dictionary: TimestampDict
     zoned = long.join(clocks, "blog_id", "left")
     done = normalise_timestamps(zoned, "value", "_tz", "_locale", dictionary=dictionary)
     return done.where("utc_us is not null").select("seq", "field", "utc_us").distinct()
+
+
+def post_clocks(posts: DataFrame, blogs: DataFrame, field: str, dictionary: TimestampDictionary | None = None) -> DataFrame:
+    """Add ``utc_us`` and ``wall_us``, the instant of a posts field and the clock it was written with, to every row."""
+    clocks = blogs.select(F.col("blog_id").alias("_blog"), F.col("timezone").alias("_tz"), F.col("locale").alias("_locale"))
+    zoned = posts.join(clocks, F.col("blog_id") == F.col("_blog"), "left").drop("_blog")
+    return normalise_timestamps(zoned, field, "_tz", "_locale", wall="wall_us", dictionary=dictionary).drop("_tz", "_locale")

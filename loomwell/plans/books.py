@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import dates, text
-from loomwell.operators import cleaning, extraction, intervals, rendering, selection
+from loomwell.operators import cleaning, extraction, intervals, rendering, selection, timestamps
 from loomwell.session import broadcast_if_small, materialise, read_table, scratch
 from loomwell.streaming import sync_stream
 
@@ -33,10 +33,11 @@ def current_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def chapter_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(blog_id, idx, file, name, part, xhtml, links, images): current posts in reading order with finished bodies."""
-    posts = current_posts(spark, folder)
-    order = Window.partitionBy("blog_id").orderBy(F.desc_nulls_last(F.col("date").try_cast("timestamp")), F.lower("title").desc(), "key")
-    placed = posts.withColumn("idx", F.row_number().over(order).cast("long")).withColumn("file", F.format_string("Text/ch-%04d.xhtml", "idx"))
-    placed = materialise(placed, "chapters")
+    posts = materialise(timestamps.post_clocks(current_posts(spark, folder), read_table(spark, folder, "blogs"), "date"), "current-posts")
+    order = Window.partitionBy("blog_id").orderBy(F.desc_nulls_last("utc_us"), F.lower("title").desc(), "key")
+    slim = posts.select("blog_id", "key", "utc_us", "title").withColumn("idx", F.row_number().over(order).cast("long")).select("blog_id", "key", "idx")
+    placed = posts.join(slim, (posts["blog_id"].eqNullSafe(slim["blog_id"])) & (posts["key"].eqNullSafe(slim["key"]))).drop(slim["blog_id"]).drop(slim["key"])
+    placed = materialise(placed.withColumn("file", F.format_string("Text/ch-%04d.xhtml", "idx")), "chapters")
     bodies = cleaning.rewrite_bodies(placed.select("blog_id", "idx", "url", "html"), "html", "url").withColumn("cid", F.concat_ws("/", "blog_id", F.col("idx").cast("string")))
     bodies = materialise(bodies.drop("html"), "bodies")
     by_norm = placed.groupBy("blog_id", text.normalize_url("url").alias("norm")).agg(F.max_by("file", "idx").alias("target"))
@@ -45,7 +46,7 @@ def chapter_rows(spark: SparkSession, folder: str) -> DataFrame:
     files = bodies.select(F.explode(F.array_distinct("images")).alias("url")).distinct().withColumn("file", F.concat(F.lit("images/"), F.sha1("url")))
     filled = cleaning.fill_bodies(bodies, "cid", targets, files)
     out = bodies.select("cid", "blog_id", "idx", "links", "images").join(filled, "cid")
-    names = placed.select("blog_id", "idx", "file", F.coalesce("title", F.lit("Untitled")).alias("name"), dates.local_year("date").alias("part"))
+    names = placed.select("blog_id", "idx", "file", F.coalesce("title", F.lit("Untitled")).alias("name"), dates.wall_year("wall_us").alias("part"))
     return out.join(names, ["blog_id", "idx"]).select("blog_id", "idx", "file", "name", "part", "xhtml", "links", "images")
 
 
@@ -71,34 +72,35 @@ def q_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """with d as (select source, doc_id, coalesce(title, 'Untitled') as t, url, n_chars from documents)
-    select doc_id, '<li><a href="' || replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</a> <span class="date">' || source || '</span></li>' as line from d where not (contains(url, '"'))"""
+    select doc_id, '<li><a href="' || replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' || replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</a> <span class="date">' || source || '</span></li>' as line from d"""
 )
 def q_part_lines(spark: SparkSession, folder: str) -> DataFrame:
-    d = read_table(spark, folder, "documents").where(~F.contains("url", F.lit('"')))
+    d = read_table(spark, folder, "documents")
     items = rendering.part_items(d, ["doc_id"], "doc_id", F.col("url"), F.coalesce("title", F.lit("Untitled")), [F.col("source")], F.lit(""))
     inner = F.regexp_replace(F.regexp_replace("items", '^<ol class="part-list">\n', ""), "\n</ol>$", "")
     return items.select("doc_id", inner.alias("line"))
 
 
 @query(
-    """with d as (select source, doc_id, strftime(published at time zone 'UTC', '%Y') as y, strftime(published at time zone 'UTC', '%Y-%m') as m from documents where published is not null),
+    """with d as (select source, doc_id, coalesce(strftime(published at time zone 'UTC', '%Y'), 'Undated') as y, coalesce(strftime(published at time zone 'UTC', '%Y-%m'), 'Undated') as m from documents),
     p as (select source, y, m, doc_id as idx from d union all select distinct source, y, m, null from d union all select distinct source, y, null, null from d)
-    select source, y, coalesce(m, '') as m, coalesce(idx, -1) as idx, row_number() over (partition by source order by y, coalesce(m, '9999'), coalesce(idx, 99999999999)) as play_order from p"""
+    select source, y, coalesce(m, '') as m, coalesce(idx, -1) as idx, row_number() over (partition by source order by y, coalesce(m, '~'), coalesce(idx, 99999999999)) as play_order from p"""
 )
 def q_play_order(spark: SparkSession, folder: str) -> DataFrame:
-    d = read_table(spark, folder, "documents").where("published is not null").select("source", F.date_format("published", "yyyy").alias("y"), F.date_format("published", "yyyy-MM").alias("m"), F.col("doc_id").alias("idx"))
+    dated = lambda form: F.coalesce(F.date_format("published", form), F.lit("Undated"))
+    d = read_table(spark, folder, "documents").select("source", dated("yyyy").alias("y"), dated("yyyy-MM").alias("m"), F.col("doc_id").alias("idx"))
     none_m, none_i = F.lit(None).cast("string").alias("m"), F.lit(None).cast("long").alias("idx")
     points = d.unionByName(d.select("source", "y", "m").distinct().select("source", "y", "m", none_i)).unionByName(d.select("source", "y").distinct().select("source", "y", none_m, none_i))
-    months = points.withColumn("mm", F.regexp_replace("m", "-", "").cast("long"))
+    months = points.withColumn("mm", F.when(F.col("m") == "Undated", 999_999).otherwise(F.regexp_replace("m", "-", "").try_cast("long")).cast("long"))
     return rendering.play_order(months, ["source"], "y", "mm", "idx").select("source", "y", F.coalesce("m", F.lit("")).alias("m"), F.coalesce("idx", F.lit(-1).cast("long")).alias("idx"), F.col("play_order").cast("long"))
 
 
-_KEPT = "select distinct blog_id as source, seq from refs where run_id % 3 <> 0"
+_KEPT = "select distinct blog_id as source, seq from refs"
 
 
 @query(f"select source, min(seq) as lo, max(seq) as hi from (select source, seq, seq - row_number() over (partition by source order by seq) as g from ({_KEPT})) group by source, g")
 def q_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    return intervals.to_intervals(read_table(spark, folder, "refs").where("run_id % 3 <> 0").select(F.col("blog_id").alias("source"), "seq"))
+    return intervals.to_intervals(read_table(spark, folder, "refs").select(F.col("blog_id").alias("source"), "seq"))
 
 
 @query("select blog_id, seq from refs where run_id % 3 = 0")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import dates, text
-from loomwell.operators import covers, links, selection, sync
+from loomwell.operators import covers, links, selection, sync, timestamps
 from loomwell.session import broadcast_if_small, read_table
 
 QUERIES: dict = {}
@@ -128,9 +128,11 @@ def q_date_labels(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents").where("published is not null").select("doc_id", *cols)
 
 
-@query(r"select seq, case when regexp_matches(date, '^\d{4}-\d{2}') then substr(date, 1, 4) else 'Undated' end as year, case when regexp_matches(date, '^\d{4}-\d{2}') then substr(date, 1, 7) else 'Undated' end as month, case when trim(date) <> '' and (not regexp_matches(trim(date), '^\d{4}') or cast(regexp_extract(trim(date), '^(\d{4})', 1) as int) between 1995 and 2100) then trim(date) end as plausible from posts")
+@query()
 def q_local_calendar(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "posts").select("seq", dates.local_year("date").alias("year"), dates.local_month("date").alias("month"), dates.plausible("date").alias("plausible"))
+    """Year and month of each post on the clock its date was written with, in whatever notation."""
+    p = timestamps.post_clocks(read_table(spark, folder, "posts").select("seq", "blog_id", "date"), read_table(spark, folder, "blogs"), "date")
+    return p.select("seq", dates.wall_year("wall_us").alias("year"), dates.wall_month("wall_us").alias("month"), F.timestamp_micros("utc_us").alias("at"), dates.plausible("date").alias("plausible"))
 
 
 @query("select seq, list_filter(categories, lambda c: not regexp_matches(lower(c), '^(news|general|blog)$')) as categories, trim(regexp_replace(trim(regexp_replace(title, '^(Notes on|Moving)', '')), '[0-9.]+$', '')) as title from posts")
@@ -216,9 +218,10 @@ def q_group_year(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("source", "part", F.col("first_idx").cast("long"), "posts", F.col("part_no").cast("long"))
 
 
-@query("select source, coalesce(y, 'all') as year, coalesce(m, 'all') as month, n from (select source, strftime(published at time zone 'UTC', '%Y') as y, strftime(published at time zone 'UTC', '%Y-%m') as m, count(*) as n from documents where published is not null group by source, rollup (y, m))")
+@query("select source, coalesce(y, 'all') as year, coalesce(m, 'all') as month, n from (select source, y, m, count(*) as n from (select source, coalesce(strftime(published at time zone 'UTC', '%Y'), 'Undated') as y, coalesce(strftime(published at time zone 'UTC', '%Y-%m'), 'Undated') as m from documents) group by source, rollup (y, m))")
 def q_nested_sections(spark: SparkSession, folder: str) -> DataFrame:
-    d = read_table(spark, folder, "documents").where("published is not null").select("source", F.date_format("published", "yyyy").alias("y"), F.date_format("published", "yyyy-MM").alias("m"))
+    dated = lambda form: F.coalesce(F.date_format("published", form), F.lit("Undated"))
+    d = read_table(spark, folder, "documents").select("source", dated("yyyy").alias("y"), dated("yyyy-MM").alias("m"))
     sets = d.groupingSets([["source", "y", "m"], ["source", "y"], ["source"]], "source", "y", "m").agg(F.count("*").alias("n"))
     return sets.select("source", F.coalesce("y", F.lit("all")).alias("year"), F.coalesce("m", F.lit("all")).alias("month"), "n")
 
@@ -287,15 +290,16 @@ _COVER = _KICKER.format(c="null::varchar[]", t="title")
 
 
 @query(
-    f"""with d as (select source, doc_id, title, published, {_COVER} as kicker from documents where title is not null),
+    f"""with d as (select source, doc_id, title, published, {_COVER} as kicker from (select source, doc_id, published, case when doc_id % 5 = 0 then t || ': ' || t || ': ' || t else t end as title from (select *, coalesce(title, 'Untitled') as t from documents))),
     a as (select * from d where length(title) <= 80 qualify row_number() over (partition by source, kicker order by published desc nulls last, doc_id) = 1),
     s as (select source, title, kicker, row_number() over (partition by source order by published desc nulls last, doc_id) as line from a qualify line <= 6),
-    u as (select source, title, max(published) as p, min(doc_id) as t from (select *, row_number() over (partition by source, title order by published desc nulls last, doc_id) as r from d) where r = 1 and (source, title) not in (select source, title from s) group by all),
+    u as (select source, title, max(published) as p, min(doc_id) as t from (select *, row_number() over (partition by source, title order by published desc nulls last, doc_id) as r from d where length(title) <= 80) where r = 1 and (source, title) not in (select source, title from s) group by all),
     m as (select u.source, u.title, 'FEATURE' as kicker, row_number() over (partition by u.source order by p desc nulls last, t) + coalesce((select count(*) from s where s.source = u.source), 0) as line from u)
     select b.source, g.line, coalesce(x.kicker, '') as kicker, coalesce(x.title, '') as title from (select distinct source from d) b cross join (select cast(unnest(range(1, 7)) as int) as line) g left join (select * from s union all by name select * from m where line <= 6) x on x.source = b.source and x.line = g.line"""
 )
 def q_cover_lines(spark: SparkSession, folder: str) -> DataFrame:
-    d = read_table(spark, folder, "documents").where("title is not null").select("source", "doc_id", "title", "published")
+    t = F.coalesce("title", F.lit("Untitled"))
+    d = read_table(spark, folder, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat_ws(": ", t, t, t)).otherwise(t).alias("title"), "published")
     d = d.withColumn("kicker", text.kicker("title", F.lit(None).cast("array<string>")))
     return covers.cover_lines(d, "source", "published", "title", "kicker", "doc_id", 6)
 

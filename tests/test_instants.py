@@ -88,3 +88,16 @@ def test_dictionary_survives_dead_batches_and_other_writers(spark, tmp_path):
 
     d.log.numbers = stale
     assert sorted(r.raw for r in d.update(rows("2024-07-03")).collect()) == ["2024-07-01", "2024-07-02", "2024-07-03"]
+
+
+def test_clock_as_written(spark, make_posts, make_blogs):
+    from loomwell.functions import dates
+    from loomwell.operators.timestamps import post_clocks
+
+    want = {
+        "2024-01-01T00:30:00+02:00": ("2024", "2024-01", us(2023, 12, 31, 22, 30)), "31. Dezember 2023 23:30": ("2023", "2023-12", us(2023, 12, 31, 22, 30)), "Sun, 31 Dec 2023 23:30:00 -0500": ("2023", "2023-12", us(2024, 1, 1, 4, 30)),
+        "1704061800": ("2023", "2023-12", us(2023, 12, 31, 22, 30)), "n/a": ("Undated", "Undated", None), None: ("Undated", "Undated", None), "0001-01-01": ("Undated", "Undated", None),
+    }
+    posts = post_clocks(make_posts([{"date": d} for d in want]), make_blogs(), "date")
+    got = posts.select("date", dates.wall_year("wall_us").alias("y"), dates.wall_month("wall_us").alias("m"), "utc_us").collect()
+    assert {r.date: (r.y, r.m, r.utc_us) for r in got} == want

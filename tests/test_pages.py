@@ -114,3 +114,14 @@ def test_container(spark):
     assert got.posts == 1 and got.bytes == len(got.data)
     names = spark.createDataFrame([("api-20240101.epub",), ("api-20240101-vol1.epub",), ("api-management-20240101.epub",)], "name string")
     assert {r.name for r in rendering.stale_outputs(names, names.limit(0), "api").collect()} == {"api-20240101.epub", "api-20240101-vol1.epub"}
+
+
+def test_nesting_of_any_depth():
+    from loomwell.functions.dom import parse, serialise
+    from loomwell.operators.extraction import extract, trimmed_body
+
+    deep = "<div>" * 3000 + "<p>" + "words of the body, and more of them. " * 20 + "</p>" + "</div>" * 3000
+    assert "words of the body" in clean_html(deep, "https://e.example/")[0] and "words of the body" in clean_html(deep, "https://e.example/", keep=["p"], remove=["span"])[0]
+    assert serialise(parse(deep)).count("<div>") == 3001
+    assert "words of the body" in trimmed_body(deep) and "words of the body" in extract(deep, None, remove=["span"])["html"]
+    assert extract('<script type="application/ld+json">' + "[" * 5000 + "]" * 5000 + "</script><h1>T</h1>", None)["title"] == "T"
