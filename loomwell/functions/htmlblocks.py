@@ -57,7 +57,7 @@ def parse_page(value: str | None) -> Page:
     if not value:
         return page
     body = HIDDEN.sub(lambda m: "\x00" * len(m[0]), value)
-    tail = UNFINISHED.search(body)
+    tail = UNFINISHED.match(body, body.rfind("<")) if "<" in body else None  # nothing unfinished holds another bracket
     page.cut_tag = tail is not None
     body = body[: tail.start()] if tail else body
     page.cut_reference = re.search(r"&#?\w{0,7}\Z", body) is not None
