@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from loomwell.functions.htmlblocks import Page, parse_page
 from loomwell.llm.suffixes import covered_lines, page_tokens, shared_suffixes, suffixes
-from loomwell.session import broadcast_if_small, materialise, small, spread
+from loomwell.session import arrow_batches, broadcast_if_small, materialise, small, spread
 
+#: Parameter: pages that are read together.
+BATCH = 2_000
 # Element names of HTML that count when they are shown as text.
 TAGS = (
     "a abbr article aside b big blockquote br button center cite code dd del details div dl dt em embed figcaption figure font footer "
@@ -303,7 +305,8 @@ def residue(posts: DataFrame) -> DataFrame:
     so only pages with syntax and with strings that other pages of the host have are read again, without these.
     """
     rows = spread(posts.select("seq", "blog_id", "key", "html", "excerpt"), "seq")
-    seen = materialise(rows.select("seq", "blog_id", "key", _read("html", "excerpt").alias("r")).select("seq", "blog_id", "key", "r.*"), "markup-pages")
+    with arrow_batches(posts.sparkSession, BATCH):
+        seen = materialise(rows.select("seq", "blog_id", "key", _read("html", "excerpt").alias("r")).select("seq", "blog_id", "key", "r.*"), "markup-pages")
     marked = seen.where(F.size("html_kinds") > 0)
     shared = shared_suffixes(seen)
     again = materialise(_with_shared(marked.select("seq", "html_kinds"), marked.select("seq", "blog_id", "suffixes"), shared), "markup-shared")
