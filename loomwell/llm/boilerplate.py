@@ -37,6 +37,10 @@ PART_NAMES = frozenset(
 QUOTING = frozenset(("blockquote", "figure"))
 NOTE_NAMES = frozenset("note callout pullquote tip warning info admonition".split())
 _WORD = re.compile(r"[^\W\d_]+")
+_CLOSED = re.compile(r"[.!?:…]['\"”’)]*$")
+_KINDS = frozenset(("li", "p", "td", "button", "h2", "h3", "h4", "div", "pre", "figcaption", "blockquote"))
+_AROUND = frozenset(("aside", "nav", "footer", "table", "pre", "button", "form"))
+_INSIDE = frozenset(("pre", "code", "blockquote", "figure", "small"))
 
 
 def stated_part(line: Line) -> bool | None:
@@ -50,29 +54,40 @@ def stated_part(line: Line) -> bool | None:
     return None
 
 
-def line_features(lines: list[Line]) -> list[list[str]]:
-    """What is said about each line: its words, links, length, elements and place; not its class names."""
+def line_words(line: Line) -> list[str]:
+    return _WORD.findall(line.text.lower())
+
+
+def line_marks(lines: list[Line], counts: list[int]) -> list[list[str]]:
+    """What is said about each line beside its words (given their numbers): links, length, elements and place; not its
+    class names."""
     out = []
     n = len(lines)
-    for i, x in enumerate(lines):
-        words = [w.lower() for w in _WORD.findall(x.text)]
-        k = len(words)
-        linked = min(4, round(4 * x.link_chars / max(1, len(x.text))))
+    for i, (x, k) in enumerate(zip(lines, counts, strict=True)):
+        linked = min(4, round(4 * x.link_chars / max(1, len(x.text)))) if x.link_chars else 0
         size = "0" if k == 0 else "1" if k < 3 else "2" if k < 6 else "3" if k < 10 else "4" if k < 20 else "5"
-        closed = "." if re.search(r"[.!?:…]['\"”’)]*$", x.text) else "-"
+        closed = "." if _CLOSED.search(x.text) else "-"
         first, last = min(i, 8) // 2, min(n - 1 - i, 8) // 2
-        tag = x.tag if x.tag in ("li", "p", "td", "button", "h2", "h3", "h4", "div", "pre", "figcaption", "blockquote") else "other"
+        tag = x.tag if x.tag in _KINDS else "other"
         f = [f"@link{linked}", f"@size{size}{closed}", f"@size{size}link{linked}", f"@first{first}", f"@last{last}", f"@{tag}link{linked}", f"@{tag}{size}"]
-        f += [f"@in-{t}" for t in {"aside", "nav", "footer", "table", "pre", "button", "form"}.intersection(x.path) if not QUOTING.intersection(x.path)]
+        if not _AROUND.isdisjoint(x.path) and QUOTING.isdisjoint(x.path):
+            f += [f"@in-{t}" for t in _AROUND.intersection(x.path)]
         if "|" in x.text:
             f.append("@bar")
         if "©" in x.text:
             f.append("@copyright")
-        f += [f"@of-{t}" for t in {"pre", "code", "blockquote", "figure", "small"}.intersection(x.path)]
-        out.append(f + words)
+        if not _INSIDE.isdisjoint(x.path):
+            f += [f"@of-{t}" for t in _INSIDE.intersection(x.path)]
+        out.append(f)
     return out
 
 
+def line_features(lines: list[Line]) -> list[list[str]]:
+    """All that is said about each line: its marks and its words."""
+    words = [line_words(x) for x in lines]
+    return [m + w for m, w in zip(line_marks(lines, list(map(len, words))), words, strict=True)]
+
+
 def word_weight(features: list[str]) -> float:
     """What each word of a line counts."""
     return min(1.0, WORDS / max(1, sum(f[0] != "@" for f in features)))
@@ -83,11 +98,30 @@ class LineModel:
 
     def __init__(self, prior: float, weights: dict[str, float]):
         self.prior, self.weights = prior, weights
+        self._said: dict[str, tuple[float, int]] = {}
+
+    def __reduce__(self):
+        return LineModel, (self.prior, self.weights)
 
     def odds(self, features: list[str]) -> float:
         each = word_weight(features)
         return self.prior + sum(self.weights.get(f, 0.0) * (1.0 if f[0] == "@" else each) for f in features)
 
+    def all_odds(self, lines: list[Line]) -> list[float]:
+        """``odds`` of every line of a page; what the words of a text say is kept, since pages repeat their lines."""
+        known, get = self._said, self.weights.get
+        if len(known) > 50_000:
+            known.clear()
+        said = []
+        for x in lines:
+            found = known.get(x.text)
+            if found is None:
+                words = line_words(x)
+                found = known[x.text] = sum([get(w, 0.0) for w in words]) * min(1.0, WORDS / max(1, len(words))), len(words)
+            said.append(found)
+        marks = line_marks(lines, [n for _, n in said])
+        return [self.prior + words + sum([get(f, 0.0) for f in m]) for (words, _), m in zip(said, marks, strict=True)]
+
     @classmethod
     def fit(cls, pages: list[list[Line]]) -> LineModel:
         counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
@@ -178,7 +212,7 @@ def label_lines(lines: list[Line], model: LineModel) -> list[bool]:
     """True for each line that belongs to a part around the article; everything that decides is a capacity."""
     if not lines:
         return []
-    odds = [max(-MOST_COST, min(MOST_COST, model.odds(f) - BIAS)) for f in line_features(lines)]
+    odds = [max(-MOST_COST, min(MOST_COST, o - BIAS)) for o in model.all_odds(lines)]
     for i, x in enumerate(lines):
         part = stated_part(x)
         if part is not None:
