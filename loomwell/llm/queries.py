@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwell.llm import boilerplate, encoding_repair, leakage, markup, packing, repeated_lines, residue, truncation
-from loomwell.session import read_table
+from loomwell.session import materialise, read_table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +57,17 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packing_report(p8_pack(spark, folder), read_table(spark, folder, "pack_targets"))
 
 
+def p8_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Packing by characters, which SQL can count: what became of each document, and how full the fullest container is."""
+    sizes = read_table(spark, folder, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("tokens"))
+    packed = materialise(packing.pack_documents(sizes, read_table(spark, folder, "pack_targets")), "placed")
+    per = packed.groupBy("target_id", "container_id").agg(F.sum("tokens").alias("n"))
+    over = per.join(F.broadcast(read_table(spark, folder, "pack_targets").select("target_id", "capacity_tokens")), "target_id").where(F.col("n") > F.col("capacity_tokens"))
+    overfull = over.groupBy("target_id").agg(F.count("*").alias("overfull"))
+    docs = packed.groupBy("target_id", "doc_id").agg(F.count("*").alias("parts"), F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("chars"))
+    return docs.join(F.broadcast(overfull), "target_id", "left").withColumn("overfull", F.coalesce("overfull", F.lit(0)))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
 
@@ -72,5 +84,8 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_repair.repair_documents(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_article, p4_found, p4_text, p6_found, p6_kinds, p7_found, p7_clean, p8_pack, p8_report, p9_found, p9_report, p10_found, p10_restored)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_article, p4_found, p4_text, p6_found, p6_kinds, p7_found, p7_clean, p8_pack, p8_report, p8_placed, p9_found, p9_report, p10_found, p10_restored)}
+ORACLES: dict[str, str] = {
+    "p8_placed": """select target_id, doc_id, greatest(1, cast(ceil(n / capacity_tokens) as bigint)) as parts, greatest(1, cast(ceil(n / capacity_tokens) as bigint)) as containers, n as chars, 0 as overfull
+    from (select doc_id, cast(coalesce(n_chars, 0) as bigint) as n from documents) cross join pack_targets where capacity_tokens > 0"""
+}
