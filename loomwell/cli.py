@@ -1,4 +1,4 @@
-"""python -m loomwell.cli: list, status, pending, clean, build over a folder of tables. Exit 0, 1 on bad settings, 2 on failures."""
+"""python -m loomwell.cli: list, status, pending, build over a folder of tables. Exit 0, 1 on bad settings, 2 on failures."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--set", action="append", default=[], metavar="ID.KEY=VALUE")
     p.add_argument("--tables", required=True)
     p.add_argument("--out")
+    p.add_argument("--state", help="folder in which pending keeps what earlier runs answered; only what they left comes out")
     p.add_argument("--master", default="local[*]")
     a = p.parse_args(argv)
     try:
@@ -35,15 +36,13 @@ def main(argv: list[str] | None = None) -> int:
             posts = read_table(spark, a.tables, "posts").groupBy("blog_id").agg(F.countDistinct("key").alias("posts"), F.max("fetched_at").alias("last"))
             posts.orderBy("blog_id").show(1000, False)
         elif a.command == "pending":
-            out = changes.pending_keys(*(read_table(spark, a.tables, t) for t in ("refs", "sync_runs", "posts", "blogs")))
+            out = changes.pending_keys(*(read_table(spark, a.tables, t) for t in ("refs", "sync_runs", "posts", "blogs")), state=a.state)
             out.write.mode("overwrite").parquet(a.out) if a.out else out.groupBy("blog_id").count().orderBy("blog_id").show(1000, False)
         else:
             if not a.out:
                 print("build needs --out", file=sys.stderr)
                 return 1
-            rows = chapter_rows(spark, a.tables)
-            if settings:
-                rows = rows.where(F.col("blog_id").isin([b.id for b in settings.select([])]))
+            rows = chapter_rows(spark, a.tables, [b.id for b in settings.select([])] if settings else None)
             budget = selection.budget_of(200_000_000)
             bins = selection.pack_in_order(rows.withColumn("w", F.length("xhtml")), ["blog_id"], "idx", "w", budget)
             volumes = rendering.package_volumes(rows.join(bins, ["blog_id", "idx"]).withColumn("book", F.col("blog_id")), ["blog_id", "bin"], "book")

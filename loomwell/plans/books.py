@@ -31,9 +31,18 @@ def current_posts(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("blog_id", "key", "_p.*")
 
 
-def chapter_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """(blog_id, idx, file, name, part, xhtml, links, images): current posts in reading order with finished bodies."""
-    posts = materialise(timestamps.post_clocks(current_posts(spark, folder), read_table(spark, folder, "blogs"), "date"), "current-posts")
+def stored_images(posts: DataFrame) -> DataFrame:
+    """(url, file) of the images that the cache keeps: those that posts name as theirs."""
+    urls = posts.where("featured_image is not null and featured_image <> ''").select(F.col("featured_image").alias("url")).distinct()
+    return urls.withColumn("file", F.concat(F.lit("images/"), F.sha1("url")))
+
+
+def chapter_rows(spark: SparkSession, folder: str, blogs: list[str] | None = None, assets: DataFrame | None = None) -> DataFrame:
+    """(blog_id, idx, file, name, part, xhtml, links, images): current posts in reading order with finished bodies, of all
+    blogs or those named. Images that aren't among ``assets`` (url, file; else ``stored_images``) give way to their text."""
+    current = current_posts(spark, folder)
+    current = current if blogs is None else current.where(F.col("blog_id").isin(blogs))
+    posts = materialise(timestamps.post_clocks(current, read_table(spark, folder, "blogs"), "date"), "current-posts")
     order = Window.partitionBy("blog_id").orderBy(F.desc_nulls_last("utc_us"), F.lower("title").desc(), "key")
     slim = posts.select("blog_id", "key", "utc_us", "title").withColumn("idx", F.row_number().over(order).cast("long")).select("blog_id", "key", "idx")
     placed = posts.join(slim, (posts["blog_id"].eqNullSafe(slim["blog_id"])) & (posts["key"].eqNullSafe(slim["key"]))).drop(slim["blog_id"]).drop(slim["key"])
@@ -43,7 +52,7 @@ def chapter_rows(spark: SparkSession, folder: str) -> DataFrame:
     by_norm = placed.groupBy("blog_id", text.normalize_url("url").alias("norm")).agg(F.max_by("file", "idx").alias("target"))
     hrefs = bodies.select("cid", "blog_id", F.explode(F.array_distinct("links")).alias("url")).withColumn("norm", text.normalize_url("url"))
     targets = hrefs.join(by_norm, ["blog_id", "norm"]).select("cid", "url", "target")
-    files = bodies.select(F.explode(F.array_distinct("images")).alias("url")).distinct().withColumn("file", F.concat(F.lit("images/"), F.sha1("url")))
+    files = assets.select("url", "file").dropDuplicates(["url"]) if assets is not None else stored_images(placed)
     filled = cleaning.fill_bodies(bodies, "cid", targets, files)
     out = bodies.select("cid", "blog_id", "idx", "links", "images").join(filled, "cid")
     names = placed.select("blog_id", "idx", "file", F.coalesce("title", F.lit("Untitled")).alias("name"), dates.wall_year("wall_us").alias("part"))

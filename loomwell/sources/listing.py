@@ -6,10 +6,11 @@ import re
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwell.operators.timestamps import clock_udf
 from loomwell.functions.dates import gmt
 from loomwell.functions.dom import parse, text_of
 from loomwell.functions.text import accepts
@@ -58,6 +59,30 @@ def read_rest(spark: SparkSession, path: str, blog_id: str) -> DataFrame:
     )
 
 
+def iso_utc(text: str) -> Column:
+    """A feed's date in any notation as ISO in UTC; null where it can't be read."""
+    at = clock_udf(F.col(text), F.lit("UTC"), F.lit("en-US"))["utc_us"]
+    return F.date_format(F.timestamp_micros(at), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def read_atom(spark: SparkSession, path: str, blog_id: str, feed_url: str) -> DataFrame:
+    """Posts of an Atom file: the link without a relation or with ``alternate``, content before summary, key from the id."""
+    text = "struct<_VALUE: string, _type: string>"
+    schema = f"title {text}, id string, published string, updated string, summary {text}, content {text}, link array<struct<_href: string, _rel: string>>, author array<struct<name: string>>, category array<struct<_term: string>>"
+    raw = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    links = F.filter(F.coalesce("link", F.array().cast("array<struct<_href: string, _rel: string>>")), lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    raw = raw.withColumn("_link", F.get(links, F.lit(0))["_href"]).where("_link is not null")
+    some = lambda c: F.when(F.trim(c) != "", c)
+    body = F.coalesce(some(F.col("content._VALUE")), F.col("summary._VALUE"))
+    flat = raw.withColumn("_title", F.col("title._VALUE")).withColumn("_summary", F.col("summary._VALUE")).withColumn("_first", F.coalesce("published", "updated"))
+    key = F.concat(F.lit("feed-"), F.substring(F.sha1(F.coalesce(some(F.trim("id")), F.col("_link"))), 1, 16))
+    return flat.select(
+        F.lit(blog_id).alias("blog_id"), key.alias("key"), _joined(F.lit(feed_url), F.col("_link")).alias("url"), _text("_title").alias("title"), body.alias("html"), iso_utc("_first").alias("date"), iso_utc("updated").alias("modified"),
+        F.get(F.col("author"), F.lit(0))["name"].alias("author"), F.array().cast("array<string>").alias("categories"), F.coalesce(F.transform("category", lambda c: c["_term"]), F.array().cast("array<string>")).alias("tags"),
+        _text("_summary").alias("excerpt"), F.lit(None).cast("string").alias("featured_image"), F.lit("feed").alias("source"),
+    )
+
+
 def read_feed(spark: SparkSession, path: str, blog_id: str, feed_url: str, item: str = "item") -> DataFrame:
     """Posts of an RSS file: relative links against the feed, key from the guid or else the url, terms as tags."""
     schema = "title string, link string, guid string, pubDate string, description string, `content:encoded` string, category array<string>, author string, `dc:creator` string"
@@ -66,7 +91,7 @@ def read_feed(spark: SparkSession, path: str, blog_id: str, feed_url: str, item:
     body = F.coalesce(F.when(F.trim("`content:encoded`") != "", F.col("`content:encoded`")), F.col("description"))
     key = F.concat(F.lit("feed-"), F.substring(F.sha1(F.coalesce(F.when(F.trim("guid") != "", F.trim("guid")), "link")), 1, 16))
     return raw.where("link is not null").select(
-        F.lit(blog_id).alias("blog_id"), key.alias("key"), url.alias("url"), _text("title").alias("title"), body.alias("html"), F.col("pubDate").alias("date"), F.col("pubDate").alias("modified"),
+        F.lit(blog_id).alias("blog_id"), key.alias("key"), url.alias("url"), _text("title").alias("title"), body.alias("html"), iso_utc("pubDate").alias("date"), iso_utc("pubDate").alias("modified"),
         F.coalesce("`dc:creator`", "author").alias("author"), F.array().cast("array<string>").alias("categories"), F.coalesce("category", F.array().cast("array<string>")).alias("tags"),
         _text("description").alias("excerpt"), F.lit(None).cast("string").alias("featured_image"), F.lit("feed").alias("source"),
     )

@@ -50,16 +50,30 @@ def first_seen(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFr
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def retry_timers(failures: DataFrame, key: str, ts: str, days: int = 3) -> DataFrame:
-    """failures (key, ts, permanent) to (key, failures, retry_at): state a key; permanent ones have no retry."""
+def retry_timers(failures: DataFrame, key: str, ts: str, days: int = 3, late: str = "0 seconds") -> DataFrame:
+    """failures (key, ts, permanent) to (key, failures, retry_at, due): state a key; permanent ones have no retry.
+
+    A row comes when failures arrive, and one with ``due`` when the watermark passes the retry: the timer fires once,
+    and a new failure sets it anew.
+    """
+
+    def told(k: tuple, n: int, retry: int | None, due: bool) -> pd.DataFrame:
+        at = pd.Series([None if retry is None else pd.Timestamp(retry, unit="us")], dtype="datetime64[us]")
+        return pd.DataFrame({key: [k[0]], "failures": [n], "retry_at": at, "due": [due]})
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, final = state.get if state.exists else (0, 0, False)
-        for b in batches:
-            n, last, final = n + len(b), max(last, int(b[ts].max().value // 1000)), final or bool(b["permanent"].any())
-        state.update((n, last, final))
-        retry = None if final else pd.Timestamp(last + days * 86_400_000_000, unit="us")
-        yield pd.DataFrame({key: [k[0]], "failures": [n], "retry_at": pd.Series([retry], dtype="datetime64[us]")})
+        fired = state.hasTimedOut
+        if not fired:
+            for b in batches:
+                n, last, final = n + len(b), max(last, int(b[ts].max().value // 1000)), final or bool(b["permanent"].any())
+        state.update((n, last, final))  # when a timer fired too: that takes the timer away
+        retry = None if final else last + days * 86_400_000_000
+        due = fired or (retry is not None and retry // 1000 <= state.getCurrentWatermarkMs())
+        if retry is not None and not due:
+            state.setTimeoutTimestamp(retry // 1000)
+        yield told(k, n, retry, due)
 
     kind = failures.schema[key].dataType.simpleString()
-    return failures.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, failures long, retry_at timestamp", "n long, last long, final boolean", "update", GroupStateTimeout.NoTimeout)
+    keyed = failures.withWatermark(ts, late).groupBy(key)
+    return keyed.applyInPandasWithState(step, f"`{key}` {kind}, failures long, retry_at timestamp, due boolean", "n long, last long, final boolean", "update", GroupStateTimeout.EventTimeTimeout)

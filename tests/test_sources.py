@@ -128,3 +128,26 @@ def test_candidates_and_assets(spark, tmp_path):
     assert listing.to_json(spark.createDataFrame([("a",)], "key string")).first().value == '{"key":"a"}'
     (tmp_path / "a.json").write_text('{"name": "api-20240101.2024.epub", "size": 3}\n{"name": "x.txt", "size": 1}\n')
     assert [(r.book, r.issue) for r in listing.read_assets(spark, str(tmp_path / "a.json")).collect()] == [("api", "20240101")]
+
+
+def test_atom_and_feed_dates(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<feed><entry><title>A &amp; B</title><id>urn:1</id><link rel="self" href="/x"/><link href="/a"/><published>2024-07-01T12:00:00+02:00</published><updated>2024-07-02T00:00:00Z</updated>'
+        '<content type="html">&lt;p&gt;body&lt;/p&gt;</content><author><name>Ada</name></author><category term="t"/></entry><entry><title>no link</title></entry></feed>'
+    )
+    (tmp_path / "r.xml").write_text("<rss><item><title>R</title><link>https://e.example/r</link><pubDate>Mon, 01 Jul 2024 08:00:00 -0400</pubDate><description>d</description></item></rss>")
+    (r,) = listing.read_atom(spark, str(tmp_path / "a.xml"), "b", "https://e.example/feed").collect()
+    assert (r.url, r.title, r.html, r.date, r.modified, r.author, r.tags) == ("https://e.example/a", "A & B", "<p>body</p>", "2024-07-01T10:00:00+00:00", "2024-07-02T00:00:00+00:00", "Ada", ["t"])
+    (r,) = listing.read_feed(spark, str(tmp_path / "r.xml"), "b", "https://e.example/feed").collect()
+    assert r.date == r.modified == "2024-07-01T12:00:00+00:00"
+
+
+def test_retry_timers_fire(spark, tmp_path):
+    at = str(tmp_path)
+    for day, k in (("2024-01-01", "a"), ("2024-01-02", "b"), ("2024-01-09", "c"), ("2024-01-10", "d")):
+        spark.createDataFrame([(k, day, False)], "k string, t string, permanent boolean").selectExpr("k", "cast(t as timestamp) as at", "permanent").coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema("k string, at timestamp, permanent boolean").parquet(f"{at}/in")
+        out = sync_stream.retry_timers(stream, "k", "at").writeStream.outputMode("update").option("checkpointLocation", f"{at}/c")
+        out.foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{at}/out")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{at}/out").collect()
+    assert sorted(r.k for r in got if r.due) == ["a", "b"] and sorted(r.k for r in got if not r.due) == ["a", "b", "c", "d"]
