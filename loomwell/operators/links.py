@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions.text import image_key, normalize_url
+from loomwell.session import broadcast_if_small, materialise
 
 
 def link_targets(chapters: DataFrame, by: list[str], url: str, file: str, idx: str) -> DataFrame:
@@ -65,7 +66,9 @@ def bleeding_titles(bodies: DataFrame, titles: DataFrame, by: str, least: int =
     b = bodies.where("text is not null").select(by, "id", "text", words(F.col("text")).alias("w"))
     shingle = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice(F.col("w"), i, n), F.lit(n)))
     keys = F.concat(*(F.when(F.size("w") >= n, shingle(n)).otherwise(F.array().cast("array<bigint>")) for n in (1, 2, 3)))
-    found = b.select(by, "id", F.explode(F.array_distinct(keys)).alias("k")).join(t.select(by, "other", "k"), [by, "k"])
+    asked = broadcast_if_small(materialise(t.select(by, "k").distinct(), "title-keys"))  # few beside the words of all bodies
+    met = b.select(by, "id", F.explode(F.array_distinct(keys)).alias("k")).join(asked, [by, "k"], "left_semi")
+    found = met.join(t.select(by, "other", "k"), [by, "k"])
     short = titles.where(F.length("title") > least).where(F.size(words(F.col("title"))) <= 2).select(by, F.col("id").alias("other"), "title")
     near = bodies.where(F.length("text") >= least).join(short.select(by).distinct(), by, "left_semi")
     step = F.sequence(F.lit(1), F.length("text") - least + 1)
