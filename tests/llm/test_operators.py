@@ -388,3 +388,15 @@ def test_shared_markup_is_left_out(make_posts):
     assert got == {(s, "html", "markdown") for s in (2, 4, 5)}
     text = markup.clean_text(make_posts(rows)).where("seq < 4").collect()
     assert text and not any("See" in r.text for r in text)
+
+
+def test_site_lines_reach_the_pages_either_way(posts, monkeypatch):
+    """Known to every worker, or brought by each row where they are too many: the same rows come out."""
+    told = lambda: sorted((r.seq, r.chars, r.ending, r.cut) for r in truncation.scored(posts).collect())
+    first = told()
+    monkeypatch.setattr(truncation, "small", lambda df: False)
+    assert told() == first
+    kinds = lambda: sorted(map(tuple, markup.residue(posts).collect()))
+    before = kinds()
+    monkeypatch.setattr(markup, "small", lambda df: False)
+    assert kinds() == before
