@@ -318,7 +318,7 @@ def _looks(posts: DataFrame) -> DataFrame:
     # single words are no site lines: where many rows are cut, many end with the same first word of a line
     state.apply(line_table(posts, 1).withColumn("lines", F.filter("lines", lambda x: F.contains(x, F.lit(" ")))))
     site = materialise(state.over(SITE_KEYS, 0.0), "site-lines").select("blog_id", "a")
-    models = spark.sparkContext.broadcast((boilerplate.fit_model(posts), residue.fit_model(posts)))
+    models = spark.sparkContext.broadcast((boilerplate.fit_model(posts), residue.fit_model(residue.passage_table(posts))))
     rows = spread(posts.select("seq", "blog_id", "source", "key", "html"), "seq")
     if small(site):  # then every worker holds all blogs' lines; else each row brings its own
         known: dict[str, set[int]] = {}

@@ -410,3 +410,28 @@ def test_error_pages_of_larger_tables(spark, times):
     rows = [(b, v) for b, n, v in rows for _ in range(n * times)]
     seen = spark.createDataFrame([(i, b, f"k{i}", v) for i, (b, v) in enumerate(rows)], f"seq long, blog_id string, key string, l {residue.LOOK.simpleString()}")
     assert residue.judged(seen).select("seq").distinct().count() == 9 * times
+
+
+def test_passages_of_all_records_are_learned_from(make_posts):
+    """More short records than any sample held: each brings a word of its own, and each is counted."""
+    words = ["stem" + "".join("abcdefghij"[int(c)] for c in f"{i:04d}") for i in range(2100)]
+    posts = make_posts([{"html": f"<p>The {w} gateway</p>"} for w in words] + [{"html": None}, {"html": ""}])
+    assert set(words) <= residue.fit_model(residue.passage_table(posts)).weights.keys()
+
+
+def test_counts_are_handed_on_when_a_task_holds_many(spark, monkeypatch):
+    from loomwell.llm import common
+
+    monkeypatch.setattr(common, "HELD", 3)
+    got = common.added_up(spark.range(40), lambda rows: ((f"n{i % 7}", [1.0, float(i)]) for (i,) in rows), 2).collect()
+    assert {r.name: list(r.counts) for r in got} == {f"n{k}": [len(range(k, 40, 7)), sum(range(k, 40, 7))] for k in range(7)}
+
+
+def test_code_beside_content_is_no_error_message():
+    from loomwell.functions.htmlblocks import parse_page
+
+    model = residue.PassageModel([-0.1, -3.0, -6.0, -6.0], {"trace": [-9.0, -1.0, -9.0, -9.0], "gateway": [-1.0, -9.0, -9.0, -9.0], "access": [-9.0, -1.0, -9.0, -9.0], "denied": [-9.0, -1.0, -9.0, -9.0]})
+    kinds = lambda html: residue.look(parse_page(html), model)[3]
+    plain = "<p>gateway gateway the gateway of a gateway</p>"
+    assert kinds(f"{plain}<pre>trace trace trace</pre>") == [] and kinds("<pre>trace trace trace</pre>") == ["error"]
+    assert kinds(f"{plain}<pre>Access denied</pre>") == ["error"] and kinds(f"{plain}<p>trace trace trace</p>") == ["error"]
