@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, deque
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,12 +19,14 @@ from pyspark.sql import types as T
 
 from loomwell.functions.htmlblocks import Line, parse_page
 from loomwell.functions.htmllines import fold_line
-from loomwell.llm.common import bounded_sample
-from loomwell.session import spread
+from loomwell.llm.common import added_up
+from loomwell.session import arrow_batches, spread
 
-#: Parameters: pages of each kind to fit on at most; weight in features of the common shares; capacities.
+#: Parameters: pages that each kind weighs as at most, however many there are; weight in features of the common shares; capacities.
 #: The words of a line count as so many at most, so that long lines aren't overconfident: each of more words counts less.
-SAMPLE_PAGES, PULL, MOST_COST, WORDS = 2_000, 60.0, 6.0, 12
+KIND_PAGES, PULL, MOST_COST, WORDS = 2_000, 60.0, 6.0, 12
+#: Pages whose html is read together; lines and characters whose words a task holds before it counts them.
+BATCH, HELD_LINES, HELD_CHARS = 1_000, 20_000, 4_000_000
 #: Edges: lines in a row, in one innermost element, in one outermost element, entries of one list, a heading and the list
 #: after it. BIAS is what calling a line boilerplate costs, STATED what elements that state a line's place add to the
 #: capacity of that side.
@@ -123,29 +127,79 @@ class LineModel:
         return [self.prior + words + sum([get(f, 0.0) for f in m]) for (words, _), m in zip(said, marks, strict=True)]
 
     @classmethod
-    def fit(cls, pages: list[list[Line]]) -> LineModel:
-        counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
-        sizes, lines_of = {True: 0.0, False: 0.0}, {True: 0, False: 0}
-        for lines in pages:
-            stated = [stated_part(x) for x in lines]
-            bodied, parted = any(BODY_TAGS.intersection(x.path) for x in lines), any(s for s in stated)
-            for s, f in zip(stated, line_features(lines), strict=True):
-                label = s if s is not None else True if bodied else None if parted else False
-                if label is None or (s is None and bodied and f.count("@size5.")):
-                    continue
-                each = word_weight(f)
-                for x in f:
-                    more = 1.0 if x[0] == "@" else each
-                    counts[label][x] += more
-                    sizes[label] += more
-                lines_of[label] += 1
-        every = sum(sizes.values())
-        weights = {}
-        for f in counts[True] | counts[False]:
-            background = PULL * (counts[True][f] + counts[False][f] + 0.5) / (every + 1)
-            a, b = ((counts[c][f] + background) / (sizes[c] + PULL) for c in (True, False))
-            weights[f] = math.log(a / b)
-        return cls(math.log((lines_of[True] + 1) / (lines_of[False] + 1)), weights)
+    def fit(cls, pages: Iterable[list[Line]]) -> LineModel:
+        """The model of pages of one kind."""
+        table: dict[str, list[float]] = {}
+        for name, more in count_lines((0, lines) for lines in pages):
+            table[name] = [a + b for a, b in zip(table.get(name, [0.0] * SIDES), more, strict=True)]
+        return weighed(table)
+
+
+#: Kinds of pages: with neither, with stated parts only, with stated bodies. What is counted is kept for each kind, of its
+#: lines in articles and of those around them.
+KINDS = 3
+SIDES = 2 * KINDS
+
+
+def learned(lines: list[Line]) -> list[bool | None]:
+    """For each line of a page whether it is learned from as one around the article (True) or in it; None for neither."""
+    stated = [stated_part(x) for x in lines]
+    bodied, parted = any(BODY_TAGS.intersection(x.path) for x in lines), any(s for s in stated)
+    return [s if s is not None else True if bodied else None if parted else False for s in stated]
+
+
+def count_lines(pages: Iterable[tuple[int, list[Line]]]) -> Iterator[tuple[str, list[float]]]:
+    """(feature, counts by kind and side) of the lines of pages, given with their kinds; under the name "" the lines, and
+    under a line break the pages. Weights are whole 2^-20ths, so sums don't depend on the order of rows."""
+    marks, texts = ([Counter() for _ in range(SIDES)] for _ in range(2))
+    held = 0
+
+    def told(side: int) -> Iterator[tuple[str, list[float]]]:
+        words: Counter[str] = Counter()
+        for text, n in texts[side].items():
+            found = _WORD.findall(text)
+            each = n * round(word_weight(found) * (1 << 20)) / (1 << 20)
+            for w in found:
+                words[w] += each
+        for name, n in chain(marks[side].items(), words.items()):
+            yield name, [float(n) if i == side else 0.0 for i in range(SIDES)]
+        marks[side].clear()
+        texts[side].clear()
+
+    for kind, lines in pages:
+        bodied = any(BODY_TAGS.intersection(x.path) for x in lines)
+        marks[2 * kind]["\n"] += 1
+        said = [x.text.lower() for x in lines]
+        for x, text, label, f in zip(lines, said, learned(lines), line_marks(lines, [len(_WORD.findall(t)) for t in said]), strict=True):
+            if label is None or (bodied and "@size5." in f and stated_part(x) is None):
+                continue
+            marks[2 * kind + label].update(f)
+            marks[2 * kind + label][""] += 1
+            texts[2 * kind + label][text] += 1
+            held += len(text)
+        if held > HELD_CHARS or sum(map(len, texts)) > HELD_LINES:
+            yield from chain.from_iterable(map(told, range(SIDES)))
+            held = 0
+    yield from chain.from_iterable(map(told, range(SIDES)))
+
+
+def weighed(table: dict[str, list[float]]) -> LineModel:
+    """The model from what ``count_lines`` counts in all pages. A kind of more than KIND_PAGES pages weighs as so many, so
+    that neither the rarer kinds nor the common shares are outweighed in larger tables."""
+    table = dict(table)
+    pages, lines = (table.pop(name, [0.0] * SIDES) for name in ("\n", ""))
+    scale = [min(1.0, KIND_PAGES / max(1.0, pages[2 * k])) for k in range(KINDS)]
+    sides = lambda row: tuple(sum(row[2 * k + side] * scale[k] for k in range(KINDS)) for side in (1, 0))
+    counts = {f: sides(row) for f, row in sorted(table.items())}
+    sizes = tuple(sum(c[side] for c in counts.values()) for side in (0, 1))
+    every = sum(sizes)
+    weights = {}
+    for f, both in counts.items():
+        background = PULL * (sum(both) + 0.5) / (every + 1)
+        a, b = ((n + background) / (size + PULL) for n, size in zip(both, sizes, strict=True))
+        weights[f] = math.log(a / b)
+    around, inside = sides(lines)
+    return LineModel(math.log((around + 1) / (inside + 1)), weights)
 
 
 def max_flow_side(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -251,11 +305,14 @@ def split_page(html: str | None, model: LineModel) -> tuple[list[str], list[str]
 
 
 def fit_model(posts: DataFrame) -> LineModel:
-    """Fit on at most SAMPLE_PAGES pages with stated bodies, as many with stated parts only, and as many with neither."""
+    """Fit on all pages: with stated bodies, with stated parts only, and with neither. Their lines are counted where they
+    are stored; the driver holds a row a feature."""
     html = F.lower("html")
     kind = F.when(html.rlike(r"<(article|main)\b"), 2).when(html.rlike(r"<(nav|aside|footer)\b|(class|id)=.?[\w -]*(menu|cookie|side|foot|bottom|widget)"), 1).otherwise(0)
-    rows = bounded_sample(posts.where("html is not null").select("seq", "html"), kind, F.col("seq"), SAMPLE_PAGES)
-    return LineModel.fit([parse_page(r.html).lines for r in rows.select("html").orderBy("html").collect()])
+    rows = spread(posts.where("html is not null").select("seq", "html"), "seq").select(kind.alias("kind"), "html")
+    with arrow_batches(posts.sparkSession, BATCH):
+        found = added_up(rows, lambda pages: count_lines((k, parse_page(h).lines) for k, h in pages), SIDES).collect()
+    return weighed({r.name: list(r.counts) for r in found})
 
 
 _SPLIT = T.StructType([T.StructField("text", T.StringType()), T.StructField("around", T.ArrayType(T.StringType()))])

@@ -435,3 +435,21 @@ def test_code_beside_content_is_no_error_message():
     plain = "<p>gateway gateway the gateway of a gateway</p>"
     assert kinds(f"{plain}<pre>trace trace trace</pre>") == [] and kinds("<pre>trace trace trace</pre>") == ["error"]
     assert kinds(f"{plain}<pre>Access denied</pre>") == ["error"] and kinds(f"{plain}<p>trace trace trace</p>") == ["error"]
+
+
+def test_lines_of_all_pages_are_learned_from(make_posts):
+    """More pages of a kind than any sample held: each brings a word of its own, and each is counted."""
+    words = ["stem" + "".join("abcdefghij"[int(c)] for c in f"{i:04d}") for i in range(2100)]
+    posts = make_posts([{"html": f"<p>The {w} gateway</p>"} for w in words] + [{"html": None}, {"html": ""}])
+    assert set(words) <= boilerplate.fit_model(posts).weights.keys()
+
+
+def test_line_model_of_larger_tables(make_posts, monkeypatch):
+    """The same pages many times over make the same model, in whatever batches their lines are counted."""
+    monkeypatch.setattr(boilerplate, "KIND_PAGES", 10)
+    rows = [{"html": page(i)} for i in range(12)] + [{"html": f"<p>{SENTENCES[i]}</p>"} for i in range(30)] + [{"html": f"<nav><p>Menu {i}</p></nav><p>{SENTENCES[i]}</p>"} for i in range(15)]
+    once = boilerplate.fit_model(make_posts(rows))
+    monkeypatch.setattr(boilerplate, "HELD_LINES", 5)
+    more = boilerplate.fit_model(make_posts(rows * 7))
+    assert more.prior == pytest.approx(once.prior) and more.weights.keys() == once.weights.keys()
+    assert all(more.weights[f] == pytest.approx(w) for f, w in once.weights.items())
