@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwell.functions.htmlblocks import Page, parse_page
-from loomwell.llm.suffixes import covered_lines, page_tokens, shared_suffixes, suffixes
+from loomwell.llm.suffixes import covered_lines, page_tokens, shared_suffixes, strings, suffixes
 from loomwell.session import arrow_batches, broadcast_if_small, materialise, small, spread
 
 #: Parameter: pages that are read together.
@@ -114,7 +114,7 @@ def _settled(weights: dict[str, int]) -> list[str]:
 
 
 def html_residue(html: str | None, shared: set[int] | None = None) -> list[str]:
-    """Kinds of markup shown, in the lines that no ``shared`` suffixes cover."""
+    """Kinds of markup shown, in the lines that no ``shared`` strings cover."""
     if not html:
         return []
     page = parse_page(html)
@@ -167,7 +167,7 @@ def _inline(text: str) -> str:
 
 def structured(html: str | None, shared: set[int] | None = None) -> list[tuple[str, int, str]]:
     """Blocks (kind, level, clean text): heading, paragraph, item, row, quote, code or formula. Lines that ``shared``
-    suffixes cover are left out.
+    strings cover are left out.
 
     Elements of working html, shown html, Markdown, wiki and LaTeX are read alike; code keeps its characters and line
     breaks, formulas keep their source, everything else loses its markup.
@@ -257,13 +257,30 @@ def _kept(htmls: pd.Series) -> pd.Series:
     return pd.Series([suffixes(page_tokens(parse_page(h))[0])[0].tolist() for h in htmls])
 
 
-def _with_shared(rows: DataFrame, kept: DataFrame, shared: DataFrame) -> DataFrame:
-    """Give each row (by seq) those of its suffixes that other pages have, or null. The suffixes that a page shares are
-    fewer than its tokens; where those of all pages are small they are broadcast."""
-    each = kept.select("seq", F.col("blog_id").alias("_h"), F.explode("suffixes").alias("suffix"))
+@F.pandas_udf(_LONGS)
+def _strings_of(htmls: pd.Series, shared: pd.Series) -> pd.Series:
+    return pd.Series([strings(page_tokens(parse_page(h))[0], _set(s)).tolist() for h, s in zip(htmls, shared, strict=True)])
+
+
+def _met(pages: DataFrame, shared: DataFrame) -> DataFrame:
+    """(seq, _shared): the suffixes of each page that are among ``shared`` (host, suffix), for pages that have any. They are
+    fewer than the page's tokens; where those of all pages are small they are broadcast."""
+    each = pages.select("seq", F.col("blog_id").alias("_h"), F.explode("suffixes").alias("suffix"))
     met = each.join(broadcast_if_small(shared), F.col("_h").eqNullSafe(F.col("host")) & (each["suffix"] == shared["suffix"]), "left_semi")
-    mine = met.groupBy("seq").agg(F.collect_set("suffix").alias("_shared"))
-    return rows.join(mine, "seq", "left")
+    return met.groupBy("seq").agg(F.collect_set("suffix").alias("_shared"))
+
+
+def _with_shared(rows: DataFrame, asked: DataFrame, kept: DataFrame, posts: DataFrame) -> DataFrame:
+    """Give each row (by seq) hashes of those of its strings that other pages have, or null. ``asked`` has the kept suffixes
+    of these rows, ``kept`` those of all pages; pages with one that an asked page shares are read again at every position."""
+    shared = shared_suffixes(kept)
+    mine = asked.select(F.col("blog_id").alias("_h"), F.explode("suffixes").alias("_x")).distinct()
+    needed = materialise(shared.join(mine, F.col("host").eqNullSafe(F.col("_h")) & (F.col("suffix") == F.col("_x")), "left_semi"), "asked-suffixes")
+    met = materialise(_met(kept, needed), "met-suffixes")
+    htmls = spread(posts.select("seq", "blog_id", "key", "html"), "seq").join(broadcast_if_small(met), "seq")
+    with arrow_batches(posts.sparkSession, BATCH):
+        found = materialise(htmls.select("seq", "blog_id", "key", _strings_of("html", "_shared").alias("suffixes")), "page-strings")
+    return rows.join(_met(found, shared_suffixes(found)), "seq", "left")
 
 
 def clean_text(posts: DataFrame) -> DataFrame:
@@ -274,7 +291,7 @@ def clean_text(posts: DataFrame) -> DataFrame:
     """
     rows = spread(posts.select("seq", "blog_id", "key", "html", "excerpt"), "seq")
     kept = materialise(rows.where("html <> ''").select("seq", "blog_id", "key", _kept("html").alias("suffixes")), "page-suffixes")
-    bodies = _with_shared(rows.select("seq", "html"), kept, shared_suffixes(kept))
+    bodies = _with_shared(rows.select("seq", "html"), kept, kept, posts)
     body = bodies.select("seq", F.posexplode(_blocks(F.coalesce("html", F.lit("")), "_shared")).alias("block", "b")).select("seq", "block", "b.kind", "b.level", "b.text")
     short = rows.where("excerpt <> ''").select("seq", F.lit(-1).alias("block"), F.lit("excerpt").alias("kind"), F.lit(0).alias("level"), _plain("excerpt").alias("text"))
     return body.unionByName(short)
@@ -302,14 +319,14 @@ def residue(posts: DataFrame) -> DataFrame:
     """(seq, field, kind) of the markup that readers would see. Null and empty fields have none.
 
     One pass reads every page for syntax and for its suffixes. Leaving lines out can't add a case to a page without any,
-    so only pages with syntax and with strings that other pages of the host have are read again, without these.
+    so only pages with syntax, and those that share strings with them, are read again for these strings, and pages with
+    syntax and with such strings once more without these.
     """
     rows = spread(posts.select("seq", "blog_id", "key", "html", "excerpt"), "seq")
     with arrow_batches(posts.sparkSession, BATCH):
         seen = materialise(rows.select("seq", "blog_id", "key", _read("html", "excerpt").alias("r")).select("seq", "blog_id", "key", "r.*"), "markup-pages")
     marked = seen.where(F.size("html_kinds") > 0)
-    shared = shared_suffixes(seen)
-    again = materialise(_with_shared(marked.select("seq", "html_kinds"), marked.select("seq", "blog_id", "suffixes"), shared), "markup-shared")
+    again = materialise(_with_shared(marked.select("seq", "html_kinds"), marked.select("seq", "blog_id", "suffixes"), seen, posts), "markup-shared")
     doubtful = again.where("_shared is not null").select("seq", "_shared").dropDuplicates(["seq"])
     htmls = posts.select("seq", "html").join(F.broadcast(doubtful) if small(doubtful) else doubtful, "seq")
     reread = htmls.select("seq", F.explode(_unique_kinds("html", "_shared")).alias("kind"))

@@ -1,11 +1,11 @@
 """Long strings of tokens that several pages of one host share, from a sparse suffix array of the host.
 
-The suffixes of a host's concatenated pages are not all sorted: of every WINDOW suffixes in a row only the one whose
-first DEPTH tokens have the least hash is kept. Two pages that share DEPTH + WINDOW - 1 tokens keep the same suffix in
-them, whatever stands around. Neighbours in the array that agree on DEPTH tokens are found by grouping these hashes
-instead of by sorting, which combines before the shuffle and has no order to agree on; suffixes never cross a page, so
-no separators are needed. What lies between kept suffixes that other pages have too is covered; up to WINDOW - 1 tokens
-at either end of a shared string, where no suffix is kept, count as the page's own.
+All strings of LEAST tokens of a host's pages are compared, in two steps. Of every WINDOW suffixes in a row the one whose
+first DEPTH tokens have the least hash is kept: two pages that share LEAST = DEPTH + WINDOW - 1 tokens keep the same
+suffix in them, whatever stands around, so a string whose kept suffix no other page has is shared with none. Then the
+strings themselves, at every position whose kept suffix is shared, are compared the same way. Neighbours in the array
+are found by grouping hashes instead of by sorting, which combines before the shuffle and has no order to agree on;
+strings never cross a page, so no separators are needed. Exactly the tokens of shared strings are covered.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from loomwell.functions.htmlblocks import Page
 from loomwell.session import materialise
 
 #: Parameters: tokens that a kept suffix is told by, and suffixes in a row of which one is kept: shared strings of
-#: DEPTH + WINDOW - 1 = 24 tokens or more are always found.
+#: LEAST = 24 tokens or more are found, wherever they stand.
 DEPTH, WINDOW = 12, 13
+LEAST = DEPTH + WINDOW - 1
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[str, int] = {}
@@ -45,38 +46,46 @@ def page_tokens(page: Page) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, np.uint64), np.array(lines, np.int64)
 
 
-def suffixes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the first DEPTH tokens, position) of the suffixes that are kept; shorter pages have none."""
-    n = len(tokens) - DEPTH + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def _hashes(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` tokens at each position; shorter pages have none."""
+    n = max(0, len(tokens) - size + 1)
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(DEPTH):
+        for k in range(size):
             h = (h ^ (h >> np.uint64(29))) * _BASE + tokens[k : k + n]
-    if n <= WINDOW:
-        kept = np.array([int(np.argmin(h))])
-    else:
-        rows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        kept = np.unique(np.arange(len(rows)) + rows.argmin(axis=1))
+    return h
+
+
+def _anchors(h: np.ndarray) -> np.ndarray:
+    """Position of the suffix that is kept for the string of LEAST tokens at each position, from the suffixes' hashes."""
+    if len(h) < WINDOW:
+        return np.empty(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+    return np.arange(len(rows)) + rows.argmin(axis=1)
+
+
+def suffixes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the first DEPTH tokens, position) of the suffixes that are kept; pages of fewer than LEAST tokens have none."""
+    h = _hashes(tokens, DEPTH)
+    kept = np.unique(_anchors(h))
     return h[kept].view(np.int64), kept
 
 
+def strings(tokens: np.ndarray, shared: set[int]) -> np.ndarray:
+    """Hashes of the strings of LEAST tokens whose kept suffix is ``shared``: no other string can be."""
+    h = _hashes(tokens, DEPTH)
+    met = np.isin(h.view(np.int64)[_anchors(h)], np.fromiter(shared, np.int64, len(shared)))
+    return np.unique(_hashes(tokens, LEAST).view(np.int64)[met])
+
+
 def covered_lines(page: Page, shared: set[int]) -> set[int]:
-    """Numbers of the lines all of whose tokens lie in strings that other pages have; none where all lines would, since
-    such a page is a copy rather than boilerplate."""
+    """Numbers of the lines all of whose tokens lie in strings that other pages have (``shared`` holds their hashes); none
+    where all lines would, since such a page is a copy rather than boilerplate."""
     tokens, lines = page_tokens(page)
-    hashes, at = suffixes(tokens)
+    at = np.flatnonzero(np.isin(_hashes(tokens, LEAST).view(np.int64), np.fromiter(shared, np.int64, len(shared))))
     mark = np.zeros(len(tokens) + 1, np.int64)
-    last = None
-    for h, p in zip(hashes.tolist(), at.tolist(), strict=True):
-        if h not in shared:
-            last = None
-            continue
-        start = p if last is None else min(p, last)
-        mark[start] += 1
-        mark[p + DEPTH] -= 1
-        last = p
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + LEAST, -1)
     inside = np.cumsum(mark[:-1]) > 0
     every = set(lines.tolist())
     whole = every - set(lines[~inside].tolist())
@@ -84,8 +93,8 @@ def covered_lines(page: Page, shared: set[int]) -> set[int]:
 
 
 def shared_suffixes(pages: DataFrame) -> DataFrame:
-    """(host, suffix) of the kept suffixes that two or more keys of a blog have in common, from pages (seq, blog_id, key,
-    suffixes). A row without key is a page of its own.
+    """(host, suffix) of the suffixes, or other strings, that two or more keys of a blog have in common, from pages (seq,
+    blog_id, key, suffixes). A row without key is a page of its own.
 
     The least and the greatest name tell whether there are two; they are combined before the shuffle, so a suffix that
     all pages of a large host have is one row a task.

@@ -453,3 +453,23 @@ def test_line_model_of_larger_tables(make_posts, monkeypatch):
     more = boilerplate.fit_model(make_posts(rows * 7))
     assert more.prior == pytest.approx(once.prior) and more.weights.keys() == once.weights.keys()
     assert all(more.weights[f] == pytest.approx(w) for f, w in once.weights.items())
+
+
+def test_shared_strings_are_covered_at_every_position(make_posts):
+    """Exactly the tokens of strings that pages share are covered, to their ends, as brute force has it."""
+    import random
+
+    from loomwell.functions.htmlblocks import parse_page
+    from loomwell.llm import suffixes
+
+    made = random.Random(7)
+    text = lambda n: " ".join(f"w{made.randrange(10**6)}" for _ in range(n))
+    for _ in range(40):
+        common = [text(made.randrange(3, 40)) for _ in range(made.randrange(1, 4))]
+        a, b = (parse_page("".join(f"<p>{x}</p>" for x in [text(made.randrange(1, 40)), *common, text(9)])) for _ in "ab")
+        shared = set.intersection(*(set(suffixes.suffixes(suffixes.page_tokens(p)[0])[0].tolist()) for p in (a, b)))
+        both = set.intersection(*(set(suffixes.strings(suffixes.page_tokens(p)[0], shared).tolist()) for p in (a, b)))
+        whole = len(" ".join(common).split()) >= suffixes.LEAST
+        assert suffixes.covered_lines(a, both) == (set(range(1, 1 + len(common))) if whole else set())
+    rows = [{"key": f"k{i}{j}", "html": f"<p>{text(30)}</p><p>{line}</p><p>{text(5)}</p>"} for i, line in enumerate(f"**{text(2)}** {text(24)} **{text(2)}**" for _ in range(10)) for j in range(2)]
+    assert markup.residue(make_posts([*rows, {"key": "own", "html": "<p>really **bold** here</p>"}])).select("seq").collect() == [(20,)]
