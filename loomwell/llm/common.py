@@ -1,4 +1,4 @@
-"""Shared by the text operators: counts over all rows, bounded samples, word splitting."""
+"""Shared by the text operators: counts over all rows, word splitting."""
 
 from __future__ import annotations
 
@@ -6,25 +6,10 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+", re.U)
-_SCALE = 1 << 30
-
-
-def bounded_sample(rows: DataFrame, group: Column, key: Column, most: int, groups: int = 64) -> DataFrame:
-    """At most ``most`` rows of each of the ``groups`` largest groups, chosen by a hash of ``key``; for fitting models only.
-
-    The share to keep follows from the groups' sizes, so all but about twice the wanted rows are dropped while scanning
-    and only these few are ranked. Returns the rows with their group in ``_g``.
-    """
-    h = F.pmod(F.xxhash64(key), F.lit(_SCALE))
-    tagged = rows.withColumn("_g", group).withColumn("_h", h).where("_g is not null")
-    sizes = tagged.groupBy("_g").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_g").limit(groups)
-    near = tagged.join(F.broadcast(sizes), "_g").where(F.col("_h") < F.least(F.lit(1.0), 2.0 * most / F.col("_n")) * _SCALE)
-    rank = F.row_number().over(Window.partitionBy("_g").orderBy("_h", key))
-    return near.withColumn("_r", rank).where(F.col("_r") <= most).drop("_h", "_n", "_r")
 
 
 #: Names whose counts a task holds before it hands them on.

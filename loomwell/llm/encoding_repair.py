@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwell.llm.common import bounded_sample
-from loomwell.session import spread
+from loomwell.session import materialise, spread
 
-#: Parameters: documents a language that a dictionary is trained on, its size. Languages are told by two letters, so there
-#: are at most so many.
-SAMPLE_DOCS, DICT_BYTES, LANGUAGES = 400, 48_000, 26 * 26
+#: Parameters: size of a language's dictionary; characters of its texts that are trained on together, and bytes of a piece
+#: where the dictionaries of several such parts are trained on for one.
+DICT_BYTES, PART_CHARS, PIECE = 48_000, 32_000_000, 1_000
 #: Cost in bytes of one step of a chain; the share of the description that a chain of letters has to save beyond that;
 #: characters on either side of the changed stretch that are described with it; cost of a character that no language uses.
 STEP_COST, LETTER_MARGIN, CONTEXT, STRANGE_COST = 1, 0.2, 40, 4
@@ -320,35 +319,77 @@ def repair_text(text: str | None, describer: Describer) -> tuple[str | None, str
     return "\n".join(lines), ", ".join(chains) or None, lost_characters(text)
 
 
-def train_dictionaries(documents: DataFrame) -> tuple[dict[str, bytes], str, dict[str, Counter[str]]]:
-    """A zstandard dictionary a language, the characters in use beyond ASCII and the letter pairs a language, from a bounded sample of documents (SAMPLE_DOCS each)."""
-    lang = F.lower(F.substring("lang", 1, 2))
-    rows = bounded_sample(documents.where("text is not null and lang is not null").select("doc_id", "lang", "text"), lang, F.col("doc_id"), SAMPLE_DOCS, LANGUAGES)
-    texts: dict[str, list[bytes]] = {}
-    for r in rows.select("_g", "text").collect():
-        if "�" not in r.text and not any(_reread(r.text, cs, []) != r.text for cs in UTF8_READ_AS[:4]):
-            texts.setdefault(r._g, []).append(r.text.encode())
-    out, alphabet, pairs = {}, set(), {}
-    for name, samples in sorted(texts.items()):
-        samples = _typical(samples)
-        alphabet |= {c for s in samples for c in s.decode() if ord(c) > 127}
-        pairs[name] = LetterPairs.count(b" ".join(samples).decode())
-        if len(samples) < 3:
-            continue
-        try:
-            out[name] = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself serves as the dictionary
-            out[name] = b"\n".join(sorted(samples))[-DICT_BYTES:]
-    return out, "".join(sorted(alphabet)), pairs
+def _usable(text: str) -> str | None:
+    """The characters beyond ASCII of a text that can be learned from; None where it is damaged beyond doubt."""
+    if text.isascii():
+        return ""
+    held = set(text)
+    if "�" in held or any(not any(map(held.isdisjoint, _ends(cs))) and _reread(text, cs, []) != text for cs in UTF8_READ_AS[:4]):
+        return None
+    return "".join(sorted(c for c in held if ord(c) > 127))
+
+
+@F.pandas_udf(T.StringType())
+def _characters(texts: pd.Series) -> pd.Series:
+    return pd.Series([_usable(t) for t in texts], dtype=object)
+
 
+def _trained(samples: list[bytes]) -> bytes | None:
+    if len(samples) < 3:
+        return None
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: the text itself serves as the dictionary
+        return b"\n".join(sorted(samples))[-DICT_BYTES:]
 
-def _typical(samples: list[bytes]) -> list[bytes]:
-    """Without the texts that hold a character few texts of the language have, or capitals after small letters in a
-    word: damaged texts of a few kinds repeat themselves and would end up in the dictionary."""
-    texts = [s.decode() for s in samples]
-    seen = Counter(c for t in texts for c in set(t) if ord(c) > 127)
-    rare = {c for c, n in seen.items() if n < RARE_SHARE * len(texts)}
-    return [s for s, t in zip(samples, texts, strict=True) if rare.isdisjoint(t) and not re.search("[а-яё][А-ЯЁ]", t)]
+
+def train_dictionaries(documents: DataFrame) -> tuple[dict[str, bytes], str, dict[str, Counter[str]]]:
+    """A zstandard dictionary a language, the characters in use beyond ASCII and the letter pairs a language, from all documents.
+
+    Left out are damaged texts, and those that are not typical of their language: with a character that few of its texts
+    have, or capitals after small letters in a word, since damage of a few kinds repeats itself and would end up in the
+    dictionary. A language of more than PART_CHARS is trained on in parts of that size, then on their dictionaries.
+    """
+    spark = documents.sparkSession
+    told = documents.where("text is not null and lang is not null").select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("lang"), "text")
+    texts = materialise(spread(told, "doc_id").withColumn("chars", _characters("text")).where("chars is not null"), "learned-texts")
+    sizes = {x.lang: x for x in texts.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()}
+    seen = texts.where("chars <> ''").select("lang", F.explode(F.split("chars", "")).alias("c")).where("c <> ''").groupBy("lang", "c").count().collect()
+    rare: dict[str, set[str]] = {}
+    for x in seen:
+        if x["count"] < RARE_SHARE * sizes[x.lang].n:
+            rare.setdefault(x.lang, set()).add(x.c)
+    parts = {k: max(1, -(-(x.size or 0) // PART_CHARS)) for k, x in sizes.items()}
+    schema = "lang string, dictionary binary, chars string, pairs map<string,long>"
+
+    def part(group: pd.DataFrame) -> pd.DataFrame:
+        lang = group["lang"].iloc[0]
+        none = rare.get(lang, set())
+        rows = sorted(zip(group["doc_id"], group["text"], group["chars"], strict=True), key=lambda x: (str(x[0]), x[1]))
+        typical = [(t, c) for _, t, c in rows if none.isdisjoint(c) and not re.search("[а-яё][А-ЯЁ]", t)]
+        pairs: Counter[str] = Counter()
+        for t, _ in typical:
+            pairs.update(LetterPairs.count(t))
+        chars = "".join(sorted({c for _, cs in typical for c in cs}))
+        return pd.DataFrame([(lang, _trained([t.encode() for t, _ in typical]), chars, dict(pairs))], columns=["lang", "dictionary", "chars", "pairs"])
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        found = sorted(d for d in group["dictionary"] if d is not None)
+        one = found[0] if len(found) == 1 else _trained([d[i : i + PIECE] for d in found for i in range(0, len(d), PIECE)])
+        return pd.DataFrame([(group["lang"].iloc[0], one)], columns=["lang", "dictionary"])
+
+    number = F.lit(1)
+    for lang, n in parts.items():
+        if n > 1:
+            number = F.when(F.col("lang") == lang, F.lit(n)).otherwise(number)
+    dealt = texts.withColumn("part", F.pmod(F.xxhash64("doc_id"), number))
+    made = materialise(dealt.groupBy("lang", "part").applyInPandas(part, schema), "dictionary-parts")
+    out = {x.lang: bytes(x.dictionary) for x in made.groupBy("lang").applyInPandas(whole, "lang string, dictionary binary").orderBy("lang").collect() if x.dictionary is not None}
+    alphabet = {c for x in made.select("chars").distinct().collect() for c in x.chars}
+    pairs: dict[str, Counter[str]] = {k: Counter() for k in sorted(parts)}
+    for x in made.select("lang", F.explode("pairs").alias("pair", "n")).groupBy("lang", "pair").agg(F.sum("n").alias("n")).collect():
+        pairs[x.lang][x.pair] = x.n
+    return out, "".join(sorted(alphabet)), pairs
 
 
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("chain", T.StringType()), T.StructField("lost", T.BooleanType())])

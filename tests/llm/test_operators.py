@@ -473,3 +473,15 @@ def test_shared_strings_are_covered_at_every_position(make_posts):
         assert suffixes.covered_lines(a, both) == (set(range(1, 1 + len(common))) if whole else set())
     rows = [{"key": f"k{i}{j}", "html": f"<p>{text(30)}</p><p>{line}</p><p>{text(5)}</p>"} for i, line in enumerate(f"**{text(2)}** {text(24)} **{text(2)}**" for _ in range(10)) for j in range(2)]
     assert markup.residue(make_posts([*rows, {"key": "own", "html": "<p>really **bold** here</p>"}])).select("seq").collect() == [(20,)]
+
+
+@pytest.mark.parametrize("size", [32_000_000, 20_000])
+def test_dictionaries_of_all_documents(spark, monkeypatch, size):
+    """More documents than any sample held: the letter pairs are those of all, and so are the dictionaries, in parts or not."""
+    monkeypatch.setattr(encoding_repair, "PART_CHARS", size)
+    texts = [f"{TEXTS[i % 3]} Bericht{i} für {TEXTS[(i + 1) % 3]}" for i in range(900)]
+    rows = [(i, t, "de") for i, t in enumerate(texts)] + [(900, "Ein müder Čert schläft.", "de"), (901, "müde".encode().decode("cp1252") + " Wörter", "de"), (902, None, "de"), (903, TEXTS[0], None), (904, "Prüfung", "fr")]
+    found, alphabet, pairs = encoding_repair.train_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert pairs["de"] == encoding_repair.LetterPairs.count(" ".join(texts))
+    assert set(found) == {"de"} and "nächtlichen".encode() in found["de"] and set(alphabet) == {c for t in texts for c in t if ord(c) > 127}
+    assert encoding_repair.train_dictionaries(spark.createDataFrame([], "doc_id long, text string, lang string")) == ({}, "", {})
